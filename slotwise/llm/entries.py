@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing
+from . import line_dedup, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
