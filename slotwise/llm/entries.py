@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules
+from . import html_text, line_dedup, mixing, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_html_extraction": html_text.op6_html_extraction,
         "op7_mixing": mixing.op7_mixing,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
