@@ -27,6 +27,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noframes noembe
 SKIPPED = frozenset("script style noscript iframe xmp noframes noembed template head title nav header footer aside form menu dialog button select textarea input option label fieldset svg math canvas object audio video map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr nobr picture".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table".split())
 ENDS_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = frozenset(
@@ -113,6 +114,8 @@ def parse(page: str) -> Node:
             else:
                 close((tag,), () if tag in INLINE else ("td", "th") if tag in CLOSES_P else ())
             continue
+        if tag == "html":  # the root stands for it
+            continue
         attributes = match[3] or ""
         block = stack[-1][1]
         block.tags += 1
@@ -155,13 +158,13 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def weigh(nodes: list[Node], whole: bool) -> None:
+def weigh(nodes: list[Node]) -> None:
     """Sets each node's composite density and its children's sum, leaves first."""
     sums: dict[int, list[int]] = {}
     for node in reversed(nodes):
         c = [node.chars, node.link_chars, node.tags, node.link_tags]
         for child in node.children:
-            if whole or not child.noise:
+            if not child.noise:
                 c = [a + b for a, b in zip(c, sums[id(child)], strict=True)]
         sums[id(node)] = c
     chars, link_chars, *_ = sums[id(nodes[0])]
@@ -172,7 +175,7 @@ def weigh(nodes: list[Node], whole: bool) -> None:
         links = max(c, 1) / max(lc, 1) * t / max(lt, 1)  # 1 for a node that is all links
         scale = math.log(max(c, 1) / max(c - lc, 1) * lc + ratio * c + math.e)
         node.density = c / t * math.log(1 + links) / math.log(1 + scale)
-        live = [x for x in node.children if whole or not x.noise]
+        live = [x for x in node.children if not x.noise]
         node.total = sum(x.density for x in live) if live else node.density
         if live and node.chars:
             node.total += node.chars / t
@@ -200,18 +203,19 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     nodes = in_order(root)
-    weigh(nodes, whole=True)
+    weigh(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
-    floor = body.density
-    weigh(nodes, whole=False)
     hidden: set[int] = set()
-    best = body
+    # The body itself is a candidate if it holds text blocks, not only containers of them.
+    flat = body.chars or not body.children or any(n.tag in TEXT_BLOCKS for n in body.children)
+    best = body if flat else None
     for node in nodes:  # parents come before their children, so that of equal sums the outer one stays
         if node.noise or node.parent is not None and id(node.parent) in hidden:
             hidden.add(id(node))
-        elif node.total > best.total:
+        elif best is None and node is not body and node is not root or best is not None and node.total > best.total and node is not root:
             best = node
-    while best.parent is not None and best is not body and best.parent is not body and best.parent.density >= floor:
+    best = best or body
+    while best.parent is not None and best is not body and best.parent is not body and best.parent.density >= body.density:
         best = best.parent
     return " ".join(blocks(best))
 
