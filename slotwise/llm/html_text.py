@@ -217,6 +217,10 @@ def main_text(page: str | None) -> str:
     best = best or body
     while best.parent is not None and best is not body and best.parent is not body and best.parent.density >= body.density:
         best = best.parent
+    above: Node | None = best
+    while (above := above.parent) is not None:  # an element that is meant to be the article is taken whole
+        if above.tag in ("article", "main"):
+            best = above
     return " ".join(blocks(best))
 
 
