@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, line_dedup, mixing, packing, quality_classifier, quality_rules
+from . import embedding_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_mixing": mixing.op7_mixing,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
