@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules
+from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_html_extraction": html_text.op6_html_extraction,
