@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slotwise.plans import queries as registered
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: registered.QUERIES[name] for name in registered.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registered.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(20)
+    return registered.flagship(spark, sf_dir)
