@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules
+from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_mixing": mixing.op7_mixing,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
