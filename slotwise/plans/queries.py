@@ -6,13 +6,17 @@ are event types, or users where a query needs many of them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import scalars
 from slotwise.operators import asof, bars, coverage, dims, features, gate, merge, rank, status, tape
 from slotwise.params import GateParams, ScanParams
+from slotwise.sources.folders import shared_folder
 from slotwise.sources.tables import epoch_seconds, read, ticks
+from slotwise.streaming import scan
 
 HOUR = 3600
 START = 473_352  # 2024-01-01T00 in hours since 1970
@@ -193,8 +197,11 @@ l AS (SELECT symbol, arg_max(close, slot) AS last FROM bars WHERE slot >= {DAY -
 
 
 def _day_pct(spark: SparkSession, sf_dir: str, until: int = DAY) -> DataFrame:
-    """Users by percent change of the last close in the three days before ``until`` from the close before."""
-    b = user_days(spark, sf_dir)
+    return day_pct_of(user_days(spark, sf_dir), until)
+
+
+def day_pct_of(b: DataFrame, until: int) -> DataFrame:
+    """Symbols by percent change of the last close in the three days before ``until`` from the close before."""
     prior = F.max_by("close", F.when(F.col("slot") < until - 3, F.col("slot")))
     last = F.max_by("close", F.when((F.col("slot") >= until - 3) & (F.col("slot") < until), F.col("slot")))
     marks = b.groupBy("symbol").agg(prior.alias("prior"), last.alias("last"))
@@ -589,6 +596,37 @@ def share_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").where(v >= 1e3).select("o_orderkey", scalars.share_text(v).alias("shares"))
 
 
+@query(SQL["rank_top20"])
+def stream_rank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of the last micro-batch of a stream over the events: the same rows as the batch query's."""
+    def evaluate(log: DataFrame, at: int) -> DataFrame:
+        b = bars.from_ticks(log, 24 * HOUR)
+        return rank.top_ranked(day_pct_of(b, min(at // (24 * HOUR), DAY)), "day_pct")
+
+    size = F.get_json_object("props", "$.k").cast("bigint")
+    stream = scan.event_stream(spark, sf_dir, "events").select(
+        F.col("user_id").alias("symbol"), epoch_seconds().alias("sec"), F.col("event_id").alias("seq"), F.col("value").alias("price"), size.alias("size")
+    )
+    snapshots = scan.SnapshotStream(f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", evaluate, "sec")
+    snapshots.start(stream).awaitTermination()
+    return snapshots.latest(spark).select("rank", "symbol", "last", *r6("day_pct"))
+
+
+@query(f"SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // {6 * HOUR} * {6 * HOUR} AS start_s, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows of a stream with a watermark, in update mode: the last update of each window."""
+    stream = scan.event_stream(spark, sf_dir, "events").select("event_type", F.timestamp_seconds(epoch_seconds()).alias("at"))
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/updates/batch_id={batch_id}")
+
+    counts = scan.windowed_counts(stream, "event_type", 6 * HOUR, 24 * HOUR)
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.parquet(f"{root}/updates")
+    return updates.groupBy("event_type", "start_s").agg(F.max_by("n", "batch_id").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 users by percent change, with volume, from-open, day range and whether their type of event qualifies."""
     ranked = rank.top_ranked(_day_pct(spark, sf_dir), "day_pct")
