@@ -514,8 +514,8 @@ def too_late_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy(lateness.alias("lateness")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_retailprice > 0 THEN CASE WHEN v >= 5 THEN 1.0 WHEN v >= 2 THEN 0.8 WHEN v >= 1 THEN 0.6 WHEN v >= 0.5 THEN 0.4 WHEN v >= 0.25 THEN 0.2 ELSE 0.0 END END AS turnover,
-  CASE WHEN f < 2e6 THEN 1.0 WHEN f < 5e6 THEN 0.85 WHEN f < 10e6 THEN 0.65 WHEN f < 20e6 THEN 0.45 WHEN f < 50e6 THEN 0.2 ELSE 0.0 END AS float_size
+@query("""SELECT p_partkey, CAST(CASE WHEN p_retailprice > 0 THEN CASE WHEN v >= 5 THEN 1.0 WHEN v >= 2 THEN 0.8 WHEN v >= 1 THEN 0.6 WHEN v >= 0.5 THEN 0.4 WHEN v >= 0.25 THEN 0.2 ELSE 0.0 END END AS DOUBLE) AS turnover,
+  CAST(CASE WHEN f < 2e6 THEN 1.0 WHEN f < 5e6 THEN 0.85 WHEN f < 10e6 THEN 0.65 WHEN f < 20e6 THEN 0.45 WHEN f < 50e6 THEN 0.2 ELSE 0.0 END AS DOUBLE) AS float_size
 FROM (SELECT p_partkey, p_retailprice, CAST(p_size AS DOUBLE) * 60 / p_retailprice AS v, p_retailprice * p_size * 1000 AS f FROM part)""")
 def turnover_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("p_retailprice")
@@ -627,6 +627,27 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy("event_type", "start_s").agg(F.max_by("n", "batch_id").alias("n"))
 
 
+MATURE, SECONDS = 5694, 961
+
+
+@query(f"""WITH s AS (SELECT unnest(range(0, {MATURE})) AS i), q AS (SELECT unnest(range(-{SECONDS}, 0)) AS q), b AS (SELECT i, q, 10 + ((i + q + {MATURE}) % {MATURE}) / 8192.0 AS close, 1500 + i % 17 AS volume FROM s, q),
+a AS (SELECT i, CAST(sum(volume) AS DOUBLE) AS volume, arg_max(close, q) AS last, arg_min(close - 1 / 8192.0, q) AS first_open, max(close + 2 / 8192.0) AS high, min(close - 2 / 8192.0) AS low FROM b WHERE i NOT IN (5, 6) GROUP BY i)
+SELECT 'S' || lpad(CAST(i AS VARCHAR), 4, '0') AS symbol, CAST(row_number() OVER (ORDER BY 100.0 * (last / 10.0 - 1.0) DESC, i) AS INTEGER) AS rank, CAST(last AS DOUBLE) AS last, volume, round(CAST(100 * (last / first_open - 1) AS DOUBLE), 6) AS from_open,
+  round(CAST(100 * (last - low) / (high - low) AS DOUBLE), 6) AS day_range FROM a ORDER BY rank LIMIT 20""")
+def mature_population(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """One evaluation of a full population: 5,694 symbols with 961 generated one-second bars each, two of them empty."""
+    i, q = F.col("id") % MATURE, F.floor(F.col("id") / MATURE)  # q seconds after the first bar
+    close = F.lit(10.0) + F.pmod(i + q - SECONDS, F.lit(MATURE)) / F.lit(8192.0)
+    b = spark.range(MATURE * SECONDS).where(~i.isin(5, 6)).select(
+        F.concat(F.lit("S"), F.lpad(i.cast("string"), 4, "0")).alias("symbol"), q.alias("slot"), (close - 1 / 8192.0).alias("open"), (close + 2 / 8192.0).alias("high"),
+        (close - 2 / 8192.0).alias("low"), close.alias("close"), (F.lit(1500) + i % 17).alias("volume"),
+    )
+    a = features.session_aggregates(b, ScanParams(start=0, end=SECONDS), SECONDS).withColumn("last", F.col("mark.close"))
+    top = rank.top_ranked(a.withColumn("day_pct", scalars.percent_change(F.col("last"), F.lit(10.0))), "day_pct")
+    opened, position = scalars.percent_change(F.col("last"), F.col("first_open")), scalars.range_position(F.col("last"), F.col("low"), F.col("high"))
+    return top.select("symbol", "rank", "last", "volume", F.round(opened, 6).alias("from_open"), F.round(position, 6).alias("day_range"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 users by percent change, with volume, from-open, day range and whether their type of event qualifies."""
     ranked = rank.top_ranked(_day_pct(spark, sf_dir), "day_pct")
