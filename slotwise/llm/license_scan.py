@@ -3,13 +3,13 @@
 Texts and templates are lowered and cut into words of ASCII letters and digits, and into shingles of
 five words (a shorter template is one shingle of all its words). Templates fall into classes by the
 next power of four of their number of shingles, S. In each class a text is read in windows of 2 S
-shingles, S apart, so that any S shingles in a row lie in one window whole. A window and a template
-that it contains have a similarity of at least 1/8, and each of ``BANDS`` one-row bands agrees with that
-probability, so all of them fail with probability (7/8)**BANDS at most, below 1 in 5,000. Retrieved
-pairs are verified by exact containment of the template's shingles in the window.
+shingles, S apart, so that any S shingles in a row lie in one window whole. A class has as many one-row
+bands as make a window that holds ``CONTAINMENT`` of the class's shortest template agree with it in one
+band at least, but for a probability of ``MISS``. Retrieved pairs are verified by exact containment of
+the template's shingles in the window.
 
-A band can only agree through a shingle that text and template both hold. Texts that hold no shingle
-of any template are therefore passed over before their windows are hashed; this changes no result.
+A band can only agree through a shingle that text and template both hold. Texts and windows that hold
+no shingle of any template are therefore passed over before bands are computed; this changes no result.
 
 Only DataFrame functions are used. The templates are a parameter, a few dozen rows, so their keys can
 be literals and broadcast.
@@ -20,14 +20,16 @@ repeat a doc_id give one row per (doc_id, license). Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import staged
 
 SHINGLE = 5
-BANDS = 64
 CONTAINMENT = 0.8
+MISS = 1e-4
 
 # Short forms and openings of public licenses.
 TEMPLATES = {
@@ -48,29 +50,38 @@ TEMPLATES = {
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ", -1)
+    """Words in order; a text that starts or ends with another character has an empty one there."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", -1)
 
 
 def shingles_of(words: Column, size: int) -> Column:
-    """A hash for each run of ``size`` words."""
+    """A hash for each run of ``size`` hashed words."""
     last = F.size(words) - size
     hashed = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
     return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def min_hashes(shingles: Column) -> Column:
+def bands_for(shortest: int, span: int) -> int:
+    """Bands that miss a window holding ``CONTAINMENT`` of a template of so many shingles with probability ``MISS``."""
+    held = CONTAINMENT * shortest if shortest > 1 else 1
+    window = 2 * span if span > 1 else 1
+    agree = held / (window + shortest - held)
+    return 1 if agree >= 1 else math.ceil(math.log(MISS) / math.log(1 - agree))
+
+
+def min_hashes(shingles: Column, bands: int) -> Column:
     """One minimum per band, each with its band mixed in."""
     return F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda band: F.xxhash64(F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, band))), band),
     )
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     """license, size (words of a shingle), span (S) and distinct shingles of each template."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string").withColumn("w", words_of(F.col("text")))
+    rows = spark.createDataFrame(list(templates.items()), "license string, text string").withColumn("w", F.filter(words_of(F.col("text")), lambda w: w != ""))
     sized = rows.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
-    by_size = F.element_at(F.array(*(shingles_of(F.col("w"), k) for k in range(1, SHINGLE + 1))), F.col("size"))
+    by_size = F.element_at(F.array(*(shingles_of(F.transform("w", lambda x: F.xxhash64(x)), k) for k in range(1, SHINGLE + 1))), F.col("size"))
     out = []
     for r in sized.select("license", "size", F.array_distinct(by_size).alias("shingles")).collect():
         span = 1
@@ -85,10 +96,10 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, containmen
     spark = docs.sparkSession
     table = template_table(spark, templates or TEMPLATES)
     sizes = sorted({t["size"] for t in table})
-    # The words are bound to a lambda's variable and exploded as an array of one, so that they are
-    # computed once for a text and not once for every use.
-    all_sizes = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(*(shingles_of(w, k).alias(f"h{k}") for k in sizes)))
-    hashed = docs.select("doc_id", F.explode(all_sizes).alias("h")).select("doc_id", "h.*")
+    # Arrays are exploded as an array of one, so that they are computed once for a text and not once for
+    # every use.
+    numbered = docs.select("doc_id", F.explode(F.array(F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)))).alias("w"))
+    hashed = numbered.select("doc_id", F.explode(F.array(F.struct(*(shingles_of(F.col("w"), k).alias(f"h{k}") for k in sizes)))).alias("h")).select("doc_id", "h.*")
     known = {k: F.array(*(F.lit(x) for x in sorted({x for t in table if t["size"] == k for x in t["shingles"]}))) for k in sizes}
     holds = None
     for k in sizes:
@@ -99,11 +110,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, containmen
     found = []
     for size, span in sorted({(t["size"], t["span"]) for t in table}):
         mine = spark.createDataFrame([(t["license"], t["shingles"]) for t in table if (t["size"], t["span"]) == (size, span)], "license string, template array<bigint>")
-        bands = mine.select("license", "template", F.explode(min_hashes(F.col("template"))).alias("key"))
+        n = bands_for(min(len(t["shingles"]) for t in table if (t["size"], t["span"]) == (size, span)), span)
+        bands = mine.select("license", "template", F.explode(min_hashes(F.col("template"), n)).alias("key"))
         h = F.col(f"h{size}")
         starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(span))
-        here = survivors.where(F.size(h) > 0).select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(h, i + 1, 2 * span).alias("shingles")))).alias("window"))
-        keyed = here.select("doc_id", "window.at", "window.shingles", F.explode(min_hashes(F.col("window.shingles"))).alias("key"))
+        here = survivors.where(F.size(h) > 0).select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(h, i + 1, 2 * span if span > 1 else 1).alias("shingles")))).alias("window"))
+        near = here.select("doc_id", "window.at", "window.shingles").where(F.arrays_overlap("shingles", known[size]))
+        keyed = near.select("doc_id", "at", "shingles", F.explode(min_hashes(F.col("shingles"), n)).alias("key"))
         pairs = keyed.join(F.broadcast(bands), "key").groupBy("doc_id", "license", "at").agg(F.first("shingles").alias("shingles"), F.first("template").alias("template"))
         held = F.size(F.array_intersect("template", "shingles")) / F.size("template")
         found.append(pairs.select("doc_id", "license", "at", held.alias("containment")))

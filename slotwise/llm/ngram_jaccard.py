@@ -12,8 +12,10 @@ Equal sets are one node from the start. Then every bucket compares its members w
 links found are merged, and only pairs of the same bucket that are still in different components are
 compared directly, so that groups of near copies are not expanded into all their pairs.
 
-A part that has no bit set proves nothing, so these words are left out as long as the parts beyond d
-(``slack``) outnumber them, and used otherwise; no link is lost.
+A band has more parts than d needs (``slack``), so that linked sets agree in 1 + slack words, and
+pairs that share fewer are passed over. A part that has no bit set proves nothing; these words are left
+out, and the number that must be shared is lowered by them, as long as slack outnumbers them. Otherwise
+they are used. No link is lost.
 
 Defined results: a text that is null or has no words has an empty set and links with nothing. A row
 whose doc_id is null is returned with its size and no component. Rows that repeat a doc_id are
@@ -37,6 +39,8 @@ from .staging import staged
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Powers of 1 / similarity that a size band spans: wider bands cut sets finer, narrower ones write more of them twice.
 REACH = 3
+#: One part in so many is beyond the need. The more there are, the more words two linked sets share.
+SLACK = 5
 _ONE, _SIX_BITS = np.uint64(1), np.uint64(63)
 
 
@@ -59,13 +63,13 @@ class Scheme:
     def parts(self, band: int, edges: np.ndarray) -> tuple[int, int]:
         """Number of parts of a band's sketches, and how many of them are beyond the need."""
         apart = self.most_apart(2 * (int(np.ceil(edges[band + 1])) - 1))
-        slack = apart * (100 - self.percent) // 250 + 2
+        slack = apart // SLACK + 2
         return (apart + 1 + slack, slack) if apart else (0, 0)
 
 
-def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> np.ndarray:
-    """A key for each parity word of each band that a set (sorted hashes) takes part in."""
-    n = len(shingles)
+def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tuple[np.ndarray, int]:
+    """A key for each parity word of each band that a set (sorted hashes) takes part in, and how many a link shares."""
+    n, need = len(shingles), 1 << 30
     home = int(np.searchsorted(edges, n, side="right")) - 1
     out = [np.zeros(0, dtype=np.uint64)]
     bits = _ONE << (shingles & _SIX_BITS)
@@ -81,12 +85,14 @@ def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> np.n
         word = np.bitwise_xor.reduceat(bits, starts)
         part = part[starts]
         part, word = part[word != 0], word[word != 0]
-        if parts - len(part) > slack:
+        missing = parts - len(part)
+        need = min(need, 1 + slack - (missing if missing <= slack else 0))
+        if missing > slack:
             full = np.zeros(parts, dtype=np.uint64)
             full[part.astype(np.int64)] = word
             part, word = np.arange(parts, dtype=np.uint64), full
         out.append(words.mixed(words.mixed(part + np.uint64(band << 40)) + word))
-    return np.concatenate(out)
+    return np.concatenate(out), need
 
 
 def whole_sketch(shingles: np.ndarray) -> list[int]:
@@ -96,7 +102,7 @@ def whole_sketch(shingles: np.ndarray) -> list[int]:
 
 
 def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n (set size), a 128-bit signature of the set, its sketch and its bucket keys."""
+    """doc_id, n (set size), a 128-bit signature of the set, its sketch, the keys a link shares, its bucket keys."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = scheme.edges()
@@ -105,15 +111,16 @@ def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
             for text in batch.column(1):
                 s = words.shingle_set(text.as_py(), scheme.size)
                 signature = int(s.sum().view(np.int64)), int(words.mixed(s + np.uint64(1)).sum().view(np.int64))
-                rows.append((len(s), *signature, *whole_sketch(s)))
-                keys.append(bucket_keys(s, scheme, edges).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
-            table = np.array(rows, dtype=np.int64).reshape(-1, 7)
+                own, need = bucket_keys(s, scheme, edges) if len(s) else (np.zeros(0, dtype=np.uint64), 0)
+                rows.append((len(s), *signature, *whole_sketch(s), need))
+                keys.append(own.view(np.int64))
+            table = np.array(rows, dtype=np.int64).reshape(-1, 8)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))
-            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(7)), flat]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig1", "sig2", *SKETCH, "keys"])
+            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(8)), flat]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "keys"])
 
-    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
+    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, keys array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, schema)
 
 
@@ -127,6 +134,11 @@ def _may_link(scheme: Scheme, a: str, b: str) -> Column:
     return near & (apart * (100 + scheme.percent) <= (x + y) * (100 - scheme.percent))
 
 
+def _enough(a: str, b: str) -> Column:
+    """Whether a pair shares as many keys as a link must; pairs that a star leaves out are met again later."""
+    return F.col("shared") >= F.least(f"{a}.need", f"{b}.need")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose exact shingle sets link."""
 
@@ -151,17 +163,20 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, scheme: Scheme) ->
     """Pairs (a, b) of representatives of different sets that connect all that links connect."""
     keyed = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    sized = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", *SKETCH)
-    rows = staged(keyed.withColumnRenamed("doc_id", "rep").join(shared, "key").join(sized, "rep"), "bucket-rows")
-    candidates = rows.select("rep").distinct()
-    texts = docs.join(candidates, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    sized = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "need", *SKETCH)
+    rows = staged(keyed.withColumnRenamed("doc_id", "rep").join(shared, "key"), "shared-keys")
+    # A set that shares fewer keys than a link does, with all others together, has no link.
+    counted = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(sized, "rep").where("own >= need")
+    sized = staged(counted.drop("own"), "candidates")
+    rows = staged(rows.join(sized, "rep"), "bucket-rows")
+    texts = docs.join(sized.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = staged(texts.dropDuplicates(["rep"]), "candidate-texts")
 
     # One member of each bucket against the others.
     pivots = rows.groupBy("key").agg(F.min("rep").alias("p"))
-    with_pivot = rows.alias("x").join(pivots, "key").where(F.col("x.rep") != F.col("p")).select("p", F.struct("rep", "n", *SKETCH).alias("y")).distinct()
-    star = with_pivot.join(sized.select(F.col("rep").alias("p"), F.struct("n", *SKETCH).alias("z")), "p").where(_may_link(scheme, "y", "z"))
-    star = staged(star.select(F.col("p").alias("a"), F.col("y.rep").alias("b")), "star-pairs")
+    met = rows.join(pivots, "key").where(F.col("rep") != F.col("p")).groupBy("p", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    both = met.join(sized.alias("y"), "rep").join(sized.withColumnRenamed("rep", "p").alias("z"), "p")
+    star = staged(both.where(_may_link(scheme, "y", "z") & _enough("y", "z")).select(F.col("p").alias("a"), F.col("rep").alias("b")), "star-pairs")
     found = staged(verified(star, texts, scheme), "star-links")
 
     # Then the pairs of a bucket that are not connected yet.
@@ -171,7 +186,8 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, scheme: Scheme) ->
     open_ = labelled.join(mixed, "key", "left_semi")
     x, y = open_.alias("x"), open_.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_link(scheme, "x", "y")
-    rest = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    met = x.join(y, on).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    rest = met.agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.need", "y.need")).alias("need")).where("shared >= need").select("a", "b")
     return found.unionByName(verified(rest.join(star, ["a", "b"], "left_anti"), texts, scheme))
 
 
@@ -192,7 +208,7 @@ def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     return members.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
     )
 
 
