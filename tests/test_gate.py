@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from slotwise.operators import gate
