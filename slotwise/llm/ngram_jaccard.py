@@ -2,9 +2,11 @@
 
 Sets A and B reach a Jaccard similarity of t only if their symmetric difference d is at most
 ``(1 - t) / (1 + t) * (|A| + |B|)``. Each document's shingles are dealt by hash into m parts, and each
-part XORs one bit per shingle into a 64-bit parity word, so that the Hamming distance of two sketches is
-at most d and at most d parts differ. m exceeds the largest d of its size band, hence two documents
-that link agree in a word: the join is on (band, part, word). A document also takes part in the next
+part XORs one bit per shingle into a parity word, so that the Hamming distance of two sketches is at
+most d and at most d parts differ. m exceeds the largest d of its size band, hence two documents that
+link agree in a word: the join is on (band, part, word). A word has a bit for every hash there is, so
+that parts of few shingles seldom agree by accident however large the corpus; as all but a few of its
+bits are zero, it is kept as the XOR of a hash of each set bit. A document also takes part in the next
 band's scheme if a larger partner there is possible. A further 256-bit sketch of the whole set rejects
 most accidental partners before any text is fetched; what is left is verified on the exact sets.
 
@@ -12,10 +14,10 @@ Equal sets are one node from the start. Then every bucket compares its members w
 links found are merged, and only pairs of the same bucket that are still in different components are
 compared directly, so that groups of near copies are not expanded into all their pairs.
 
-A band has more parts than d needs (``slack``), so that linked sets agree in 1 + slack words, and
-pairs that share fewer are passed over. A part that has no bit set proves nothing; these words are left
-out, and the number that must be shared is lowered by them, as long as slack outnumbers them. Otherwise
-they are used. No link is lost.
+A band has more parts than d needs, and a set of n shingles differs from its partners in at most the d
+of its own n, so that linked sets agree in several words; pairs that share fewer are passed over. A part
+that has no bit set proves nothing; these words are left out, and the number that must be shared is
+lowered by them, as long as one is left. Otherwise they are used. No link is lost.
 
 Defined results: a text that is null or has no words has an empty set and links with nothing. A row
 whose doc_id is null is returned with its size and no component. Rows that repeat a doc_id are
@@ -61,10 +63,9 @@ class Scheme:
         return (100 - self.percent) * total // (100 + self.percent)
 
     def parts(self, band: int, edges: np.ndarray) -> tuple[int, int]:
-        """Number of parts of a band's sketches, and how many of them are beyond the need."""
+        """Number of parts of a band's sketches, and in how many of them linked sets of the band can differ."""
         apart = self.most_apart(2 * (int(np.ceil(edges[band + 1])) - 1))
-        slack = apart // SLACK + 2
-        return (apart + 1 + slack, slack) if apart else (0, 0)
+        return (apart + 1 + apart // SLACK + 2, apart) if apart else (0, 0)
 
 
 def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tuple[np.ndarray, int]:
@@ -72,12 +73,13 @@ def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tupl
     n, need = len(shingles), 1 << 30
     home = int(np.searchsorted(edges, n, side="right")) - 1
     out = [np.zeros(0, dtype=np.uint64)]
-    bits = _ONE << (shingles & _SIX_BITS)
+    apart = scheme.most_apart(n + 100 * n // scheme.percent)  # from the largest partner
+    bits = words.mixed(shingles)
     high = shingles >> np.uint64(32)
     for band in (home, home + 1):
         if band > home and n + 1e-6 < edges[band] * scheme.percent / 100:
             break
-        parts, slack = scheme.parts(band, edges)
+        parts, most = scheme.parts(band, edges)
         if not parts:  # in this band only equal sets link
             continue
         part = (high * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
@@ -85,9 +87,10 @@ def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tupl
         word = np.bitwise_xor.reduceat(bits, starts)
         part = part[starts]
         part, word = part[word != 0], word[word != 0]
+        agree = parts - min(apart, most)
         missing = parts - len(part)
-        need = min(need, 1 + slack - (missing if missing <= slack else 0))
-        if missing > slack:
+        need = min(need, agree - missing if missing < agree else agree)
+        if missing >= agree:
             full = np.zeros(parts, dtype=np.uint64)
             full[part.astype(np.int64)] = word
             part, word = np.arange(parts, dtype=np.uint64), full
