@@ -167,7 +167,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, bucket: int = BUCK
 
     one = F.struct("anchor", "start", "n", "at")
     asked = judged.where("not repeated").groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(one).alias("asked"))
-    texts = known.join(asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")))
+    # Equal rows are one document: a span that is asked for travels once. The join uses the same exchange.
+    once = known.repartition("doc_id", "row").distinct()
+    texts = once.join(asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")))
     data = F.col("text").cast("binary")
     with_bytes = F.transform("asked", lambda s: F.struct(s["anchor"].alias("anchor"), s["start"].alias("start"), s["n"].alias("n"), s["at"].alias("at"), F.substring(data, s["start"] + 1, s["n"] + length - 1).alias("bytes")))
     each = texts.select("doc_id", "row", F.explode(with_bytes).alias("s")).select("doc_id", "row", "s.*")

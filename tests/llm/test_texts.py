@@ -124,6 +124,19 @@ def test_repeated_strings_null_ids_and_repeated_rows(spark):
     assert substring_dedup.kept_bytes(table(spark, [(1, "x")]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [50_000, 3])
+def test_repeated_rows_beside_a_partial_copy(spark, bucket):
+    word = lambda rng: "".join(rng.choice(list("abcdefgh"), 400))
+    head, tail, other = (word(np.random.default_rng(k)) for k in range(3))
+    rows = [(1, head + tail), (1, head + tail), (2, head + other), (2, head + other), (2, other + tail)]
+    got = {(r.doc_id, bytes(r.kept)) for r in substring_dedup.kept_bytes(table(spark, rows), bucket=bucket).collect()}
+    assert (1, (head + tail).encode()) in got and len(got) == 3
+    alone = [(1, head + tail), (2, head + other)]
+    want = brute_removed(alone, 100)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substring_dedup.kept_bytes(table(spark, rows[:4]), bucket=bucket).collect()}
+    assert found == want
+
+
 def test_licenses(spark):
     filler = " ".join(f"word{i}" for i in range(200))
     grant = license_scan.TEMPLATES["mit-grant"]
