@@ -7,6 +7,12 @@ than the page's body. Parts that are never content (menus, headers, footers, sid
 adverts, forms, scripts, styles, reader comments) are recognised by their tag, role, class or id and
 taken out of the tree before.
 
+A class or id is only a hint. `no-sidebar`, `post-has-comments`, `sidebar-none` and a page builder's
+`widget` name nothing; main is never taken out for its class, and an element that holds most of the
+page's unlinked text is kept unless an article stands elsewhere. Reader comments may be longer than the
+article, so they are only kept if they hold main, the page's heading or its only article. If nothing
+would be left, classes and ids are disregarded.
+
 Defined results: null, empty or textless html gives an empty string. Repeated rows and null ids are
 extracted each. Other columns are ignored.
 """
@@ -36,16 +42,21 @@ NOISE = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall"
     " comment comments commentlist disqus respond replies discussion share sharing social related recommended widget widgets form".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+ABSENT = frozenset("no non not has have with without hide hides".split())
+STATES = frozenset("none off on open closed enabled disabled".split())
+BUILDERS = frozenset("elementor siteorigin so sow jet brz".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "children", "noise", "link", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "children", "noise", "names", "link", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, link: bool = False):
         self.tag, self.parent, self.noise, self.link = tag, parent, noise, link
+        self.names: list[tuple[str, bool]] = []  # noise words of class and id, if they are all that makes it noise
         self.parts: list[Node | str] = []  # text runs and block children, in page order
         self.children: list[Node] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
@@ -53,6 +64,7 @@ class Node:
 
 
 def is_noise(tag: str, attributes: str) -> bool:
+    """Whether the element's tag, role or style takes it out."""
     if tag in SKIPPED:
         return True
     if not attributes or tag in ("body", "html"):
@@ -64,11 +76,29 @@ def is_noise(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(p.lower() in NOISE for p in _PART.split(html.unescape(value))):
-            return True
     return False
 
 
+def noise_names(tag: str, attributes: str) -> list[tuple[str, bool]]:
+    """The noise words that the class and id name, and whether each is a whole class or id."""
+    if not attributes or tag in ("body", "html", "main"):
+        return []
+    values = ["".join(values) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    tokens = [[p.lower() for p in _PART.split(token) if p] for value in values for token in html.unescape(value).split()]
+    if not any(p in NOISE for parts in tokens for p in parts):
+        return []
+    built = any(p in BUILDERS for parts in tokens for p in parts[:2])
+    out = []
+    for parts in tokens:
+        for k, p in enumerate(parts):
+            absent = not ABSENT.isdisjoint(parts[:k]) or k + 1 < len(parts) and parts[k + 1] in STATES
+            if p in NOISE and not absent and not (built and k < 2 and p in ("widget", "widgets")):
+                out.append((p, len(parts) == 1))
+    if tag == "article":  # only a whole class or id speaks against it, or that it is a comment
+        return [x for x in out if x[1] or x[0] in COMMENTS]
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; text inside inline elements belongs to the block around them."""
     root = Node("html", None)
@@ -133,7 +163,9 @@ def parse(page: str) -> Node:
             names, barriers = ENDS_LIKE[tag]
             close(names.split(), barriers)
         block = stack[-1][1]
-        noise = is_noise(tag, attributes)
+        firm = is_noise(tag, attributes)
+        names = [] if firm else noise_names(tag, attributes)
+        noise = firm or bool(names)
         if tag in INLINE and not noise:
             if tag == "a":
                 if links:
@@ -143,6 +175,7 @@ def parse(page: str) -> Node:
             stack.append((tag, stack[-1][1]))
         else:
             child = Node(tag, block, noise)
+            child.names = names
             block.parts.append(child)
             block.children.append(child)
             stack.append((tag, child))
@@ -158,8 +191,48 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def weigh(nodes: list[Node]) -> None:
-    """Sets each node's composite density and its children's sum, leaves first."""
+def release(nodes: list[Node]) -> None:
+    """Keeps elements that only their class or id takes out but that hold the article; see the module's text."""
+    if not any(n.names for n in nodes):
+        return
+    comment = {id(n) for n in nodes if any(p in COMMENTS for p, _ in n.names)}
+    plain: dict[int, int] = {}  # unlinked characters outside firm noise and comments
+    heads: dict[int, bool] = {}
+    articles: dict[int, int] = {}
+    for node in reversed(nodes):
+        live = [c for c in node.children if not c.noise or c.names]
+        plain[id(node)] = node.chars - node.link_chars + sum(plain[id(c)] for c in live if id(c) not in comment)
+        heads[id(node)] = node.tag in ("main", "h1") or any(heads[id(c)] for c in live)
+        articles[id(node)] = (node.tag == "article" and not node.noise) + sum(articles[id(c)] for c in live)
+    marked: set[int] = set()
+    elsewhere = 0  # articles and mains that hold text and no class takes out
+    above: dict[int, int] = {}  # how many of those each element lies in
+    for node in nodes:
+        up = node.parent
+        if node.noise or up is not None and id(up) in marked:
+            marked.add(id(node))
+        own = node.tag in ("article", "main") and id(node) not in marked and plain[id(node)] > 0
+        elsewhere += own
+        above[id(node)] = own + (above[id(up)] if up is not None else 0)
+    total = plain[id(nodes[0])]
+    for node in nodes:
+        if not node.names:
+            continue
+        alone = elsewhere == above[id(node)]
+        most = 2 * plain[id(node)] > total
+        if id(node) in comment:
+            kept = heads[id(node)] or articles[id(node)] == 1 == articles[id(nodes[0])]
+            kept = kept or node.tag == "article" and plain[id(node)] > total and sum(n.tag == "article" for n in nodes) == 1
+        elif node.tag == "article":
+            kept = most or alone and articles[id(nodes[0])] == 0
+        else:
+            kept = most and alone
+        if kept:
+            node.noise = False
+
+
+def weigh(nodes: list[Node]) -> dict[int, list[int]]:
+    """Sets each node's composite density and its children's sum, leaves first; returns characters, linked ones, tags and links below each."""
     sums: dict[int, list[int]] = {}
     for node in reversed(nodes):
         c = [node.chars, node.link_chars, node.tags, node.link_tags]
@@ -179,6 +252,27 @@ def weigh(nodes: list[Node]) -> None:
         node.total = sum(x.density for x in live) if live else node.density
         if live and node.chars:
             node.total += node.chars / t
+    return sums
+
+
+def leaves_out(body: Node, best: Node, sums: dict[int, list[int]]) -> bool:
+    """Whether a flat body holds dense unlinked text beside the child that ``best`` lies in."""
+    child = best
+    while child.parent is not None and child.parent is not body:
+        child = child.parent
+    if child.parent is None:
+        return False
+    chars, link_chars, *_ = sums[id(child)]
+    left = body.chars - body.link_chars
+    left = left if left >= body.density else 0
+    for node in body.children:
+        c, lc, *_ = sums[id(node)]
+        if node is not child and not node.noise and node.tag in TEXT_BLOCKS and node.density >= body.density and 2 * lc < c:
+            left += c - lc
+    one = child.tag in TEXT_BLOCKS
+    if child.tag == "table":  # one of data, or the page's layout
+        one = not any(n.tag in TEXT_BLOCKS or n.tag in ("div", "section") for n in in_order(child)[1:])
+    return left > 0 if one else 4 * left > chars - link_chars
 
 
 def blocks(node: Node) -> Iterator[str]:
@@ -203,7 +297,17 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     nodes = in_order(root)
-    weigh(nodes)
+    release(nodes)
+    text = content(root, nodes)
+    if not text and any(n.names for n in nodes):
+        for node in nodes:
+            node.noise = node.noise and not node.names
+        text = content(root, nodes)
+    return text
+
+
+def content(root: Node, nodes: list[Node]) -> str:
+    sums = weigh(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     hidden: set[int] = set()
     # The body itself is a candidate if it holds text blocks, not only containers of them.
@@ -221,6 +325,8 @@ def main_text(page: str | None) -> str:
     while (above := above.parent) is not None:  # an element that is meant to be the article is taken whole
         if above.tag in ("article", "main"):
             best = above
+    if flat and best is not body and best.tag not in ("article", "main") and leaves_out(body, best, sums):
+        best = body
     return " ".join(blocks(best))
 
 

@@ -61,6 +61,42 @@ def test_pages(spark):
     assert sorted(r.n_chars for r in html_text.extracted(pages).collect()) == [0, 1, len(html_text.main_text(page))]
 
 
+TEXT = "A sentence of the article that is long enough to be read, with a comma. " * 8
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "page with-header", "elementor-widget-container", "post-has-comments", "hasSidebar", "layout-sidebar-right", "sidebar-none", "post comments-open", "widget so-panel widget_sow-editor"])
+@pytest.mark.parametrize("inner", ["div", "article", "main"])
+def test_names_on_the_article_or_around_it(name, inner):
+    menu = "<div class='site-header'><h1>Site</h1></div><div class='main-nav'><a href=/>Home</a></div>"
+    around = f"<body>{menu}<div class='{name}'><{inner}><p>{TEXT}</p></{inner}></div><div class='cookie-banner'>We use cookies.</div></body>"
+    assert html_text.main_text(around) == TEXT.strip()
+    assert html_text.main_text(f"<body>{menu}<{inner} class='{name}'><p>{TEXT}</p></{inner}></body>") == TEXT.strip()
+
+
+def test_noise_beside_a_short_article_stays_out():
+    long = f"<p>{TEXT}</p>" * 5
+    for name in ("comments", "comment-list", "post-comments", "sidebar", "related-posts", "left-sidebar", "footer-widgets", "newsletter-signup"):
+        page = f"<body><div><article><h1>Title</h1><p>{TEXT}</p></article></div><div class='{name}'>{long}</div></body>"
+        assert html_text.main_text(page) == f"Title {TEXT.strip()}", name
+    thread = f"<body><div><h1>Title</h1><p>{TEXT}</p></div><div id='comments'><article class='comment-body'>{long}</article></div></body>"
+    assert html_text.main_text(thread) == f"Title {TEXT.strip()}"
+    cards = f"<body><main><article><p>{TEXT}</p></article><article class='related'><p>Another one</p></article></main></body>"
+    assert html_text.main_text(cards) == TEXT.strip()
+    assert html_text.main_text(f"<body><div id='comments'><p>{TEXT}</p></div></body>") == TEXT.strip()
+
+
+def test_flat_body_keeps_its_paragraphs():
+    p = f"<p>{'word ' * 50}</p>"
+    li = f"<li>{'item ' * 12}</li>" * 30
+    row = f"<tr>{'<td>some cell text</td>' * 5}</tr>" * 60
+    for block in (f"<ul>{li}</ul>", f"<table>{row}</table>", f"<div><ul>{li}</ul></div>"):
+        text = html_text.main_text(f"<body><h1>Title</h1>{p * 3}{block}</body>")
+        assert text.startswith("Title word") and text.count("word") == 150, block[:20]
+        assert len(text) > 2000
+    stray = html_text.main_text(f"<body><div>{p * 5}</div><p>Copyright</p></body>")
+    assert "Copyright" not in stray and stray.count("word") == 250
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{i % 4}" if i % 9 else None) for i in range(3000)] + [(1, None, "s1"), (1, "w w", "s1"), (1, "w w", "s1"), (None, "w", "tiny")]
