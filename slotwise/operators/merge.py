@@ -1,8 +1,10 @@
 """The canonical merge: which of several deliveries of one bar stands, and what became of each.
 
-Deliveries of an identity (symbol, slot) are few. They are gathered per identity in order of admission
-and folded by a SQL aggregate over the sorted array, so that the decisions stay in the JVM; every
-delivery is returned with its disposition, and accounting is a group-by.
+Nothing bounds the deliveries of an identity (symbol, slot), so they are never held at once. Windows
+give the bars and positions of an identity their ranks, which compare as the values do; the rows are
+then sorted by identity in order of admission and read once, with a state of a few numbers that is
+carried from batch to batch. Sorts and windows spill. Every delivery leaves with its disposition as a
+row of its own, and accounting is a group-by.
 
 ``deliveries`` has symbol, slot, seq, source ('live' or 'historical'), position (any orderable value,
 null for historical rows), bar (a struct of values), admission_s and end_s.
@@ -10,67 +12,147 @@ null for historical rows), bar (a struct of values), admission_s and end_s.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-
-def _fold(state: Column, row: Column, horizon: int) -> Column:
-    held, live = state["bar"].isNotNull(), row["source"] == "live"
-    held_live = held & (state["source"] == "live")
-    late = live & (row["admission_s"] - row["end_s"] > horizon)
-    equal = held & state["bar"].eqNullSafe(row["bar"])
-    outcome = (
-        F.when(row["end_s"] > row["admission_s"], "rejected:future_event_time")
-        .when(late & ~held_live, "rejected:too_late")
-        .when(~live & ~held & state["conflict"], "rejected:historical_historical_conflict")
-        .when(equal, "exact_duplicate")
-        .when(late, "rejected:too_late")
-        .when(~held, "inserted")
-        .when(live & ~held_live, "revised")
-        .when(live & (row["position"] < state["position"]), "rejected:nonprecedent")
-        .when(live & (row["position"] == state["position"]), "withdrawn_integrity")
-        .when(live, "revised")
-        .when(held_live, "rejected:historical_live_conflict")
-        .otherwise("withdrawn_conflict")
-    )
-    taken = outcome.isin("inserted", "revised")
-    gone = outcome.isin("withdrawn_integrity", "withdrawn_conflict")
-    advanced = (outcome == "exact_duplicate") & live
-    position = F.when(taken, row["position"]).when(advanced, F.greatest(state["position"], row["position"])).when(~gone, state["position"])
-    return F.struct(
-        F.when(taken, row["bar"]).when(~gone, state["bar"]).alias("bar"),
-        F.when(taken | advanced, row["source"]).when(~gone, state["source"]).alias("source"),
-        position.alias("position"),
-        F.when(taken & live, False).when(outcome == "withdrawn_conflict", True).otherwise(state["conflict"]).alias("conflict"),
-        (state["integrity"] | (outcome == "withdrawn_integrity")).alias("integrity"),
-        F.concat(state["log"], F.array(F.struct(row["seq"].alias("seq"), outcome.alias("outcome")))).alias("log"),
-    )
+from pyspark.sql.types import BooleanType, StructType
 
+#: Bar, source and position that stand (as ranks), conflict and integrity flags.
+_EMPTY = (None, None, None, False, False)
 
-def merged(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
-    """One row per identity: the bar that stands (null if none), its source, flags and the log."""
-    kinds = {f.name: f.dataType for f in deliveries.schema}
-    row = F.struct("seq", "source", "position", "bar", "admission_s", "end_s")
-    gathered = deliveries.groupBy("symbol", "slot").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(
-        F.lit(None).cast(kinds["bar"]).alias("bar"),
-        F.lit(None).cast("string").alias("source"),
-        F.lit(None).cast(kinds["position"]).alias("position"),
-        F.lit(False).alias("conflict"),
-        F.lit(False).alias("integrity"),
-        F.array().cast(StructType().add("seq", kinds["seq"]).add("outcome", "string").simpleString().join(["array<", ">"])).alias("log"),
-    )
-    folded = F.aggregate("rows", start, lambda s, r: _fold(s, r, horizon))
-    # Exploded as an array of one, so that the fold is computed once for all its fields.
-    return gathered.select("symbol", "slot", F.explode(F.array(folded)).alias("state")).select("symbol", "slot", "state.*")
+
+def _decide(state: tuple, live: bool, position: int | None, bar: int | None, future: bool, late: bool) -> str:
+    held, standing, conflict = state[0] is not None, state[2], state[3]
+    held_live = held and state[1] is True
+    late = live and late
+    both = position is not None and standing is not None
+    if future:
+        return "rejected:future_event_time"
+    if late and not held_live:
+        return "rejected:too_late"
+    if not live and not held and conflict:
+        return "rejected:historical_historical_conflict"
+    if held and bar == state[0]:
+        return "exact_duplicate"
+    if late:
+        return "rejected:too_late"
+    if not held:
+        return "inserted"
+    if live and not held_live:
+        return "revised"
+    if live and both and position < standing:
+        return "rejected:nonprecedent"
+    if live and both and position == standing:
+        return "withdrawn_integrity"
+    if live:
+        return "revised"
+    return "rejected:historical_live_conflict" if held_live else "withdrawn_conflict"
+
+
+def _after(state: tuple, outcome: str, live: bool, position: int | None, bar: int | None) -> tuple:
+    held, source, standing, conflict, integrity = state
+    if outcome in ("inserted", "revised"):
+        return bar, live, position, conflict and not live, integrity
+    if outcome == "exact_duplicate" and live:
+        return held, True, max((p for p in (standing, position) if p is not None), default=None), conflict, integrity
+    if outcome == "withdrawn_integrity":
+        return None, None, None, conflict, True
+    if outcome == "withdrawn_conflict":
+        return None, None, None, True, integrity
+    return state
+
+
+def _ordered(deliveries: DataFrame, horizon: int, *values: str) -> DataFrame:
+    """Deliveries of each identity in a row, in order of admission."""
+    identity = Window.partitionBy("symbol", "slot")
+    rank = lambda name: F.when(F.col(name).isNotNull(), F.dense_rank().over(identity.orderBy(name)))
+    late = F.col("admission_s") - F.col("end_s") > horizon
+    ranked = deliveries.repartition("symbol", "slot").withColumn("bar_rank", rank("bar")).withColumn("position_rank", rank("position"))
+    # Ranks stand for bars and positions in the order too.
+    placed = ranked.sortWithinPartitions("symbol", "slot", "seq", "source", "position_rank", "bar_rank", "admission_s", "end_s")
+    return placed.select(
+        "symbol", "slot", "seq", "position_rank", "bar_rank", *values,
+        F.coalesce(F.col("source") == "live", F.lit(False)).alias("live"),
+        F.coalesce(F.col("end_s") > F.col("admission_s"), F.lit(False)).alias("future"),
+        F.coalesce(late, F.lit(False)).alias("late"),
+    )
+
+
+_FACTS = ("symbol", "slot", "live", "position_rank", "bar_rank", "future", "late")
 
 
 def dispositions(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
     """symbol, slot, seq, disposition and reason of every delivery."""
-    log = merged(deliveries, horizon).select("symbol", "slot", F.explode("log").alias("e"))
-    parts = F.split("e.outcome", ":")
-    return log.select("symbol", "slot", "e.seq", parts[0].alias("disposition"), F.coalesce(F.get(parts, 1), F.lit("")).alias("reason"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identity, state = None, _EMPTY
+        for batch in batches:
+            outcomes = []
+            for symbol, slot, *fact in zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True):
+                if (symbol, slot) != identity:
+                    identity, state = (symbol, slot), _EMPTY
+                outcome = _decide(state, *fact)
+                state = _after(state, outcome, *fact[:3])
+                outcomes.append(outcome)
+            columns = [batch.column(c) for c in ("symbol", "slot", "seq")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(outcomes, pa.string())], names=["symbol", "slot", "seq", "outcome"])
+
+    kinds = {f.name: f.dataType for f in deliveries.schema}
+    schema = StructType()
+    for name in ("symbol", "slot", "seq"):
+        schema = schema.add(name, kinds[name])
+    log = _ordered(deliveries, horizon).mapInArrow(run, schema.add("outcome", "string"))
+    parts = F.split("outcome", ":")
+    return log.select("symbol", "slot", "seq", parts[0].alias("disposition"), F.coalesce(F.get(parts, 1), F.lit("")).alias("reason"))
+
+
+def merged(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
+    """One row per identity: the bar that stands (null if none), its source and flags."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identity, state = None, _EMPTY
+        kept: pa.RecordBatch | None = None  # the delivery whose bar stands, when it came in an earlier batch
+        last: pa.RecordBatch | None = None  # a row of the identity that is still open, for its symbol, slot and types
+
+        def closed(rows: pa.Table, bars: pa.Table, at: list, states: list) -> pa.RecordBatch:
+            columns = [rows["symbol"], rows["slot"], bars["bar"].take(pa.array(at, pa.int64()))]
+            sources = [None if s[1] is None else "live" if s[1] else "historical" for s in states]
+            arrays = [*(c.combine_chunks() for c in columns), pa.array(sources, pa.string()), *(pa.array([s[k] for s in states], pa.bool_()) for k in (3, 4))]
+            return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=["symbol", "slot", "bar", "source", "conflict", "integrity"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # What is carried over stands before the batch: the open identity's last row, and the row of its bar.
+            before = [x for x in (kept, last) if x is not None]
+            table = pa.Table.from_batches([*before, batch])
+            shift = len(before)
+            holder = 0 if kept is not None else None
+            ends, at, states = [], [], []
+            for k, (symbol, slot, *fact) in enumerate(zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True), shift):
+                if (symbol, slot) != identity:
+                    if identity is not None:
+                        ends.append(k - 1)
+                        at.append(holder)
+                        states.append(state)
+                    identity, state, holder = (symbol, slot), _EMPTY, None
+                outcome = _decide(state, *fact)
+                state = _after(state, outcome, *fact[:3])
+                holder = None if state[0] is None else k if outcome in ("inserted", "revised") else holder
+            if ends:
+                yield closed(table.take(pa.array(ends, pa.int64())), table, at, states)
+            whole = table.combine_chunks().to_batches()[0]
+            kept = None if holder is None else whole.take(pa.array([holder]))
+            last = whole.take(pa.array([whole.num_rows - 1]))
+        if last is not None:
+            bars = pa.Table.from_batches([last if kept is None else kept])
+            yield closed(pa.Table.from_batches([last]), bars, [None if kept is None else 0], [state])
+
+    kinds = {f.name: f.dataType for f in deliveries.schema}
+    schema = StructType().add("symbol", kinds["symbol"]).add("slot", kinds["slot"]).add("bar", kinds["bar"]).add("source", "string")
+    return _ordered(deliveries, horizon, "bar").mapInArrow(run, schema.add("conflict", BooleanType()).add("integrity", BooleanType()))
 
 
 def canonical(deliveries: DataFrame, horizon: int = 960) -> DataFrame:

@@ -50,3 +50,20 @@ def test_live_positions_win_in_any_order(spark):
     for seed in range(3):
         random.Random(seed).shuffle(deliveries)
         assert run(spark, deliveries)[1] == (L, 5.0)
+
+
+def test_an_identity_of_any_size_is_never_gathered(spark):
+    n = 25_000  # more than two batches
+    made = [("A", 0, i, L, i, (float(i),), 1000, 999) for i in range(n)]
+    made += [("B", s, 0, H, None, (float(s),), 1000, 999) for s in range(5)]
+    made += [("C", 0, i, H, None, (float(i > 0),), 1000, 999) for i in range(n)]
+    df = spark.createDataFrame(made, SCHEMA)
+    for made in (merge.dispositions(df), merge.merged(df)):
+        plan = made._jdf.queryExecution().executedPlan().toString().lower()
+        assert "collect_list" not in plan
+    found = {(r.symbol, r.disposition, r.reason): r["count"] for r in merge.dispositions(df).groupBy("symbol", "disposition", "reason").count().collect()}
+    conflict = ("rejected", "historical_historical_conflict")
+    assert found == {("A", "inserted", ""): 1, ("A", "revised", ""): n - 1, ("B", "inserted", ""): 5, ("C", "inserted", ""): 1, ("C", "withdrawn_conflict", ""): 1, ("C", *conflict): n - 2}
+    stands = sorted((r.symbol, r.slot, r.value) for r in merge.canonical(df.repartition(1)).collect())
+    assert stands == [("A", 0, n - 1.0), *(("B", s, float(s)) for s in range(5))]
+    assert [(r.symbol, r.slot) for r in merge.conflict_slots(df).collect()] == [("C", 0)]
