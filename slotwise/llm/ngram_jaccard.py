@@ -68,9 +68,13 @@ class Scheme:
         return (apart + 1 + apart // SLACK + 2, apart) if apart else (0, 0)
 
 
-def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tuple[np.ndarray, int]:
-    """A key for each parity word of each band that a set (sorted hashes) takes part in, and how many a link shares."""
-    n, need = len(shingles), 1 << 30
+def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """A key for each parity word of each band that a set (sorted hashes) takes part in, and how many a link shares.
+
+    The last is how many it shares at least with any partner: a set that falls back to its empty words
+    asks for more, but a partner that publishes no empty words may share only one key with it.
+    """
+    n, need, least = len(shingles), 1 << 30, 1 << 30
     home = int(np.searchsorted(edges, n, side="right")) - 1
     out = [np.zeros(0, dtype=np.uint64)]
     apart = scheme.most_apart(n + 100 * n // scheme.percent)  # from the largest partner
@@ -90,12 +94,13 @@ def bucket_keys(shingles: np.ndarray, scheme: Scheme, edges: np.ndarray) -> tupl
         agree = parts - min(apart, most)
         missing = parts - len(part)
         need = min(need, agree - missing if missing < agree else agree)
+        least = min(least, need if missing < agree else 1)
         if missing >= agree:
             full = np.zeros(parts, dtype=np.uint64)
             full[part.astype(np.int64)] = word
             part, word = np.arange(parts, dtype=np.uint64), full
         out.append(words.mixed(words.mixed(part + np.uint64(band << 40)) + word))
-    return np.concatenate(out), need
+    return np.concatenate(out), need, least
 
 
 def whole_sketch(shingles: np.ndarray) -> list[int]:
@@ -105,7 +110,7 @@ def whole_sketch(shingles: np.ndarray) -> list[int]:
 
 
 def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n (set size), a 128-bit signature of the set, its sketch, the keys a link shares, its bucket keys."""
+    """doc_id, n (set size), a 128-bit signature of the set, its sketch, the keys a link shares (need; at least, least), its bucket keys."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = scheme.edges()
@@ -114,16 +119,16 @@ def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
             for text in batch.column(1):
                 s = words.shingle_set(text.as_py(), scheme.size)
                 signature = int(s.sum().view(np.int64)), int(words.mixed(s + np.uint64(1)).sum().view(np.int64))
-                own, need = bucket_keys(s, scheme, edges) if len(s) else (np.zeros(0, dtype=np.uint64), 0)
-                rows.append((len(s), *signature, *whole_sketch(s), need))
+                own, need, least = bucket_keys(s, scheme, edges) if len(s) else (np.zeros(0, dtype=np.uint64), 0, 0)
+                rows.append((len(s), *signature, *whole_sketch(s), need, least))
                 keys.append(own.view(np.int64))
-            table = np.array(rows, dtype=np.int64).reshape(-1, 8)
+            table = np.array(rows, dtype=np.int64).reshape(-1, 9)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))
-            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(8)), flat]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "keys"])
+            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(9)), flat]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "least", "keys"])
 
-    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, keys array<bigint>"
+    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, least bigint, keys array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, schema)
 
 
@@ -166,11 +171,11 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, scheme: Scheme) ->
     """Pairs (a, b) of representatives of different sets that connect all that links connect."""
     keyed = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    sized = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "need", *SKETCH)
+    sized = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "need", "least", *SKETCH)
     rows = staged(keyed.withColumnRenamed("doc_id", "rep").join(shared, "key"), "shared-keys")
     # A set that shares fewer keys than a link does, with all others together, has no link.
-    counted = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(sized, "rep").where("own >= need")
-    sized = staged(counted.drop("own"), "candidates")
+    counted = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(sized, "rep").where("own >= least")
+    sized = staged(counted.drop("own", "least"), "candidates")
     rows = staged(rows.join(sized, "rep"), "bucket-rows")
     texts = docs.join(sized.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = staged(texts.dropDuplicates(["rep"]), "candidate-texts")

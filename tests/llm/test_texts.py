@@ -96,6 +96,26 @@ def test_near_copies_null_ids_and_no_rows(spark):
     assert sorted(str(r.doc_id) for r in ngram_jaccard.one_of_each(table(spark, rows)).collect()) == ["1", "1", "None"]
 
 
+def test_an_isolated_pair_of_small_sets_links(spark):
+    scheme = ngram_jaccard.Scheme(5, 80)
+    edges, rng, cut = scheme.edges(), np.random.default_rng(11), []
+    for k in range(20_000):
+        n = 8 + k % 9
+        tokens = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        a, b = " ".join(tokens), " ".join([*tokens, "more"] if k % 2 else [*tokens[:-1], "other"])
+        s, t = (ngram_jaccard.words.shingle_set(x, 5) for x in (a, b))
+        both = len(np.intersect1d(s, t))
+        if 100 * both < 80 * (len(s) + len(t) - both):
+            continue
+        (own, *x), (other, *y) = (ngram_jaccard.bucket_keys(z, scheme, edges) for z in (s, t))
+        shared = len(np.intersect1d(own, other))
+        if shared < max(x[0], y[0]):
+            cut.append((a, b, shared >= max(x[-1], y[-1])))
+    assert cut and all(c[2] for c in cut)
+    got = ngram_jaccard.near_copies(table(spark, [(1, cut[0][0]), (2, cut[0][1])]), scheme).collect()
+    assert [r.component_id for r in got] == [1, 1]
+
+
 def brute_removed(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):
