@@ -2,7 +2,7 @@
 
 Each step keeps, per node, the smallest neighbour (a partial aggregate) and re-hangs the others below
 it (a join that adaptive execution splits at hubs). Edges never leave the cluster; the driver sees a
-count and a checksum per round. Rounds grow with the logarithm of the longest chain.
+count and a checksum per round, and the edges of a round are discarded with the next. Rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import discard, staged
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = staged(edges.distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        edges = staged(_small_star(_large_star(edges)), "stars")
+        old, edges = edges, staged(_small_star(_large_star(edges)), "stars")
+        discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .staging import staged
+from .staging import discard, staged
 
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Powers of 1 / similarity that a size band spans: wider bands cut sets finer, narrower ones write more of them twice.
@@ -143,8 +143,9 @@ def _may_link(scheme: Scheme, a: str, b: str) -> Column:
 
 
 def _enough(a: str, b: str) -> Column:
-    """Whether a pair shares as many keys as a link must; pairs that a star leaves out are met again later."""
-    return F.col("shared") >= F.least(f"{a}.need", f"{b}.need")
+    """Whether a pair shares as many keys as a link must."""
+    fewest = F.greatest(F.least(f"{a}.need", f"{b}.need"), f"{a}.least", f"{b}.least")
+    return F.col("shared") >= fewest
 
 
 def verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -164,39 +165,52 @@ def verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     of_a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(verify, "a bigint, b bigint")
+    return full.mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rep and text of every id in the pairs (a, b); an id with several texts has a row for each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    found = docs.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    several = found.repartition("rep").withColumn("h", F.xxhash64("text"))
+    return several.dropDuplicates(["rep", "h"]).drop("h")
 
 
 def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) of representatives of different sets that connect all that links connect."""
-    keyed = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    sized = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "need", "least", *SKETCH)
-    rows = staged(keyed.withColumnRenamed("doc_id", "rep").join(shared, "key"), "shared-keys")
+    """Pairs (a, b) of representatives of different sets that connect all that links connect (a staged table)."""
+    mine = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    keyed = mine.select("rep", F.explode("keys").alias("key"))
+    # One member of each bucket, p, meets the others.
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key", "p")
+    rows = staged(keyed.join(shared, "key").select("key", "p", "rep"), "bucket-rows")
+    met = staged(rows.groupBy("p", "rep").agg(F.count(F.lit(1)).alias("shared")), "met")
     # A set that shares fewer keys than a link does, with all others together, has no link.
-    counted = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(sized, "rep").where("own >= least")
-    sized = staged(counted.drop("own", "least"), "candidates")
-    rows = staged(rows.join(sized, "rep"), "bucket-rows")
-    texts = docs.join(sized.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    texts = staged(texts.dropDuplicates(["rep"]), "candidate-texts")
-
-    # One member of each bucket against the others.
-    pivots = rows.groupBy("key").agg(F.min("rep").alias("p"))
-    met = rows.join(pivots, "key").where(F.col("rep") != F.col("p")).groupBy("p", "rep").agg(F.count(F.lit(1)).alias("shared"))
-    both = met.join(sized.alias("y"), "rep").join(sized.withColumnRenamed("rep", "p").alias("z"), "p")
-    star = staged(both.where(_may_link(scheme, "y", "z") & _enough("y", "z")).select(F.col("p").alias("a"), F.col("rep").alias("b")), "star-pairs")
-    found = staged(verified(star, texts, scheme), "star-links")
-
-    # Then the pairs of a bucket that are not connected yet.
-    joined = components(found).select(F.col("node").alias("rep"), "component")
-    labelled = staged(rows.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled-rows")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
+    own = met.groupBy("rep").agg(F.sum("shared").alias("own"))
+    sized = staged(own.join(mine.select("rep", "n", "need", "least", *SKETCH).distinct(), "rep").where("own >= least"), "candidates")
+    both = met.where("p <> rep").join(sized.alias("y"), "rep").join(sized.withColumnRenamed("rep", "p").alias("z"), "p")
+    star = both.where(_may_link(scheme, "y", "z") & _enough("y", "z"))
+    star = staged(star.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
+    found = staged(verified(star, texts_of(docs, star), scheme), "star-links")
+
+    # Then the pairs of a bucket that are not connected yet, met in all the buckets that they share.
+    joined = components(found).withColumnRenamed("node", "rep")
+    labels = sized.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels = staged(labels.drop("own"), "labels")
+    ends = labels.select("rep", "component").distinct()
+    open_ = met.join(ends, "rep").join(ends.select(F.col("rep").alias("p"), F.col("component").alias("of_p")), "p", "left")
+    open_ = open_.where(F.col("of_p").isNull() | (F.col("component") != F.col("of_p"))).select("p", "rep")
+    keys = staged(rows.join(open_, ["p", "rep"], "left_semi").select("key").distinct(), "open-keys")
+    left = staged(rows.join(keys, "key", "left_semi").select("key", "rep").distinct(), "open-rows")
+    discard(rows, met, keys, sized)
+    x, y = (left.join(labels, "rep").alias(name) for name in ("x", "y"))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_link(scheme, "x", "y")
-    met = x.join(y, on).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    rest = met.agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.need", "y.need")).alias("need")).where("shared >= need").select("a", "b")
-    return found.unionByName(verified(rest.join(star, ["a", "b"], "left_anti"), texts, scheme))
+    near = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.greatest(F.least("x.need", "y.need"), "x.least", "y.least").alias("fewest"))
+    rest = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("fewest").alias("fewest")).where("shared >= fewest")
+    rest = staged(rest.select("a", "b").join(star, ["a", "b"], "left_anti"), "other-pairs")
+    discard(left, labels, star)
+    every = staged(found.unionByName(verified(rest, texts_of(docs, rest), scheme)), "links")
+    discard(rest, found)
+    return every
 
 
 def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 A plan that is read more than once (by an iterative operator, or by a range partitioner that samples
 its input) is written as Parquet to the shared folder that the session names in
 ``spark.checkpoint.dir`` and read back, which also cuts its lineage. Losing an executor then costs a
-re-read and nothing else.
+re-read and nothing else. Once such a table is written nobody reads the shuffles that made it, so that
+Spark is told to remove their files then; a table whose successor is written can be discarded.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,9 +43,32 @@ def _remove_local() -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+@contextmanager
+def _without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads what was written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _without_old_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no frame still in use reads."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
