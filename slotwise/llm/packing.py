@@ -46,18 +46,19 @@ class TokenBytes:
 
     The tokenizer file decides the ids. Texts of Latin script are encoded from the same vocabulary
     by the faster of the two installed libraries (their ids agree on these characters, which the
-    tests check one by one); any other text is encoded by the file's own library.
+    tests check one by one); any other text, and one that spells out a token added to the vocabulary,
+    is encoded by the file's own library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        self.added = [token.content for token in self.model.get_added_tokens_decoder().values()]
         self.fast = _same_vocabulary(path)
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is not None and not _OTHER_SCRIPT.search(text):
+        if self.fast is not None and not _OTHER_SCRIPT.search(text) and not any(token in text for token in self.added):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.model.encode(text, add_special_tokens=False).ids
