@@ -11,42 +11,33 @@ the template's shingles in the window.
 A band can only agree through a shingle that text and template both hold. Texts and windows that hold
 no shingle of any template are therefore passed over before bands are computed; this changes no result.
 
-Only DataFrame functions are used. The templates are a parameter, a few dozen rows, so their keys can
-be literals and broadcast.
-
-Defined results: null or empty texts hold no notice; a null doc_id is scanned like any other; rows that
-repeat a doc_id give one row per (doc_id, license). Other columns are ignored.
+Only DataFrame functions are used. The templates are a parameter, some dozens of texts, so their keys
+can be literals and broadcast. A license may have several; a text that holds a long license whole also
+holds the shorter ones that are a part of it, and gives a row for each.
+
+Defined results: null or empty texts hold no notice, and an empty table gives no rows; a null doc_id is
+scanned like any other. Rows are scanned one by one, and those that repeat a doc_id (or have none) give
+one row per (doc_id, license) with the best window of any of them and all their windows. Texts are read
+whole, however long. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .staging import staged
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
 
-# Short forms and openings of public licenses.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "All rights reserved.",
-}
+Templates = Mapping[str, Sequence[str]]
 
 
 def words_of(text: Column) -> Column:
@@ -77,57 +68,91 @@ def min_hashes(shingles: Column, bands: int) -> Column:
     )
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
-    """license, size (words of a shingle), span (S) and distinct shingles of each template."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string").withColumn("w", F.filter(words_of(F.col("text")), lambda w: w != ""))
-    sized = rows.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
-    by_size = F.element_at(F.array(*(shingles_of(F.transform("w", lambda x: F.xxhash64(x)), k) for k in range(1, SHINGLE + 1))), F.col("size"))
+def template_table(templates: Templates) -> list[dict]:
+    """license, template (a number), size (words of a shingle), span (S) and distinct shingles (as words) of each template."""
     out = []
-    for r in sized.select("license", "size", F.array_distinct(by_size).alias("shingles")).collect():
-        span = 1
-        while span < len(r["shingles"]):
-            span *= 4
-        out.append({"license": r["license"], "size": r["size"], "span": span, "shingles": r["shingles"]})
+    for license_, texts in templates.items():
+        for text in texts:
+            w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+            size = min(SHINGLE, len(w))
+            shingles = sorted({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
+            span = 1
+            while span < len(shingles):
+                span *= 4
+            out.append({"license": license_, "template": len(out), "size": size, "span": span, "shingles": shingles})
+    return out
+
+
+def hashed_templates(spark: SparkSession, table: list[dict]) -> dict[int, list[int]]:
+    """template -> the hashes of its shingles, made like those of the texts."""
+    rows = [(t["template"], " ".join(x)) for t in table for x in t["shingles"]]
+    words = F.transform(F.split("w", " "), lambda x: F.xxhash64(x))
+    by_size = F.element_at(F.array(*(shingles_of(words, k) for k in range(1, SHINGLE + 1))), F.size(words))
+    out: dict[int, list[int]] = {}
+    for r in spark.createDataFrame(rows, "template int, w string").select("template", by_size[0].alias("h")).collect():
+        out.setdefault(r["template"], []).append(r["h"])
     return out
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def scanned(docs: DataFrame, templates: Templates | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, word (where the best window starts) and windows of each notice."""
     spark = docs.sparkSession
-    table = template_table(spark, templates or TEMPLATES)
+    table = template_table(templates or TEMPLATES)
+    hashes = hashed_templates(spark, table)
     sizes = sorted({t["size"] for t in table})
     # Arrays are exploded as an array of one, so that they are computed once for a text and not once for
     # every use.
     numbered = docs.select("doc_id", F.explode(F.array(F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)))).alias("w"))
     hashed = numbered.select("doc_id", F.explode(F.array(F.struct(*(shingles_of(F.col("w"), k).alias(f"h{k}") for k in sizes)))).alias("h")).select("doc_id", "h.*")
-    known = {k: F.array(*(F.lit(x) for x in sorted({x for t in table if t["size"] == k for x in t["shingles"]}))) for k in sizes}
+    known = {k: F.array(*(F.lit(x) for x in sorted({x for t in table if t["size"] == k for x in hashes[t["template"]]}))) for k in sizes}
     holds = None
     for k in sizes:
         one = F.arrays_overlap(F.col(f"h{k}"), known[k])
         holds = one if holds is None else holds | one
-    survivors = staged(hashed.where(holds), "license-holders")
+    # Rows are told apart by a number that is written with them, as a doc_id may be null or repeated.
+    survivors = staged(hashed.where(holds).withColumn("row", F.monotonically_increasing_id()), "license-holders")
 
     found = []
     for size, span in sorted({(t["size"], t["span"]) for t in table}):
-        mine = spark.createDataFrame([(t["license"], t["shingles"]) for t in table if (t["size"], t["span"]) == (size, span)], "license string, template array<bigint>")
-        n = bands_for(min(len(t["shingles"]) for t in table if (t["size"], t["span"]) == (size, span)), span)
-        bands = mine.select("license", "template", F.explode(min_hashes(F.col("template"), n)).alias("key"))
+        own = [t for t in table if (t["size"], t["span"]) == (size, span)]
+        mine = spark.createDataFrame([(t["license"], t["template"], hashes[t["template"]]) for t in own], "license string, template int, held array<bigint>")
+        n = bands_for(min(len(t["shingles"]) for t in own), span)
+        bands = mine.select("license", "template", "held", F.explode(min_hashes(F.col("held"), n)).alias("key"))
         h = F.col(f"h{size}")
         starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(span))
-        here = survivors.where(F.size(h) > 0).select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(h, i + 1, 2 * span if span > 1 else 1).alias("shingles")))).alias("window"))
-        near = here.select("doc_id", "window.at", "window.shingles").where(F.arrays_overlap("shingles", known[size]))
-        keyed = near.select("doc_id", "at", "shingles", F.explode(min_hashes(F.col("shingles"), n)).alias("key"))
-        pairs = keyed.join(F.broadcast(bands), "key").groupBy("doc_id", "license", "at").agg(F.first("shingles").alias("shingles"), F.first("template").alias("template"))
-        held = F.size(F.array_intersect("template", "shingles")) / F.size("template")
-        found.append(pairs.select("doc_id", "license", "at", held.alias("containment")))
+        here = survivors.where(F.size(h) > 0).select("doc_id", "row", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(h, i + 1, 2 * span if span > 1 else 1).alias("shingles")))).alias("window"))
+        near = here.select("doc_id", "row", "window.at", "window.shingles").where(F.arrays_overlap("shingles", known[size]))
+        keyed = near.select("doc_id", "row", "at", "shingles", F.explode(min_hashes(F.col("shingles"), n)).alias("key"))
+        pairs = keyed.join(F.broadcast(bands), "key").groupBy("row", "template", "at").agg(F.first("doc_id").alias("doc_id"), F.first("license").alias("license"), F.first("shingles").alias("shingles"), F.first("held").alias("held"))
+        share = F.size(F.array_intersect("held", "shingles")) / F.size("held")
+        found.append(pairs.select("doc_id", "row", "license", "at", share.alias("containment")))
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
     best = F.max_by(F.col("at"), F.struct(F.col("containment"), -F.col("at")))
+    # A window counts once for a license, whichever of its templates it holds.
+    windows = F.count_distinct("row", "at")
     return every.where(F.col("containment") >= containment).groupBy("doc_id", "license").agg(
-        F.max("containment").alias("containment"), best.cast("bigint").alias("word"), F.count(F.lit(1)).alias("windows")
+        F.max("containment").alias("containment"), best.cast("bigint").alias("word"), windows.alias("windows")
     )
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def oracle(templates: Templates | None = None, containment: float = CONTAINMENT) -> str:
+    """The shingles of every window counted against every template, in DuckDB SQL."""
+    table = template_table(templates or TEMPLATES)
+    rows = ", ".join(f"('{t['license']}', {t['template']}, {t['size']}, {t['span']}, {len(t['shingles'])}, '{' '.join(x)}')" for t in table for x in t["shingles"])
+    shingles = " UNION ALL ".join(
+        f"SELECT doc_id, rid, {k} AS size, unnest(range(0, len(w) - {k - 1})) AS i, unnest(list_transform(range(1, len(w) - {k - 2}), lambda j: array_to_string(w[j:j + {k - 1}], ' '))) AS shingle FROM d"
+        for k in sorted({t["size"] for t in table})
+    )
+    return f"""WITH t(license, template, size, span, n, shingle) AS (VALUES {rows}),
+d AS (SELECT doc_id, row_number() OVER () AS rid, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') AS w FROM documents),
+met AS (SELECT doc_id, rid, license, template, span, n, shingle, i FROM ({shingles}) JOIN t USING (size, shingle)),
+win AS (SELECT *, unnest(CASE WHEN span = 1 THEN [i] WHEN i < span THEN [0] ELSE [i // span * span, i // span * span - span] END) AS pos FROM met),
+found AS (SELECT doc_id, rid, license, template, pos, count(DISTINCT shingle) / any_value(n) AS containment FROM win GROUP BY doc_id, rid, license, template, pos)
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_max(pos, (containment, -pos)) AS BIGINT) AS word, count(DISTINCT (rid, pos)) AS windows
+FROM found WHERE containment >= {containment} GROUP BY doc_id, license"""
