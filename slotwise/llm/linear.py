@@ -36,18 +36,18 @@ def sampled_labels(labels: DataFrame, value: Column, rows: int = MAX_ROWS) -> Da
 class Rows:
     """A sparse matrix by rows, with labels."""
 
-    def __init__(self, ends: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray):
-        self.index, self.value, self.label = index, value, label
+    def __init__(self, ends: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, width: int = BUCKETS):
+        self.index, self.value, self.label, self.width = index, value, label, width
         self.row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
 
     def times(self, weight: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weight[self.index], minlength=len(self.label))
 
     def transposed(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * g[self.row], minlength=BUCKETS)
+        return np.bincount(self.index, self.value * g[self.row], minlength=self.width)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, features: Callable[[str], dict[int, float]]) -> tuple[Rows, Rows]:
+def training_rows(docs: DataFrame, labels: DataFrame, features: Callable[[str], dict[int, float]], width: int = BUCKETS) -> tuple[Rows, Rows]:
     """Features of the labelled documents: three quarters to fit on, one quarter held out."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, features: Callable[[str],
             value = pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), index, value], names=["doc_id", "label", "index", "value"])
 
-    # The labels are at most MAX_ROWS rows, so that they can be broadcast.
+    # The labels are at most MAX_ROWS rows, so that they can be broadcast. Of rows that repeat a doc_id
+    # the one with the least text is taken, so that no more rows than labels reach the driver.
     joined = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(labels.select("doc_id", F.col("label").cast("int"))), "doc_id")
+    joined = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     table = joined.mapInArrow(make, "doc_id bigint, label int, index array<int>, value array<float>").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     held = np.arange(len(order)) % 4 == 3
@@ -67,7 +69,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, features: Callable[[str],
         part = table.take(pa.array(which))
         index, value = part["index"].combine_chunks(), part["value"].combine_chunks()
         ends = np.cumsum(np.diff(index.offsets.to_numpy())) if len(which) else np.zeros(0, dtype=np.int64)
-        return Rows(ends, index.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False).astype(np.float64), part["label"].to_numpy())
+        return Rows(ends, index.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False).astype(np.float64), part["label"].to_numpy(), width)
 
     return rows(order[~held]), rows(order[held])
 

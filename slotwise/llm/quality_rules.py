@@ -7,7 +7,7 @@ against a fixed threshold. All of it is computed in one pass over Arrow batches
 
 Defined results: a null text has no words (``base_failed``); a null doc_id is scored like any other;
 repeated rows are scored each. Without labels of both kinds, every text that passes the counts is
-kept. Other columns are ignored.
+kept. Texts are read whole, however long; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

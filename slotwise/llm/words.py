@@ -12,8 +12,9 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
-#: Words that a process remembers at most; then it starts anew.
+#: Words that a process remembers at most, and their longest in bytes; when full, it starts anew.
 CACHE_WORDS = 1_000_000
+LONGEST_KEPT = 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -26,9 +27,11 @@ class Cache(dict):
         self.value = value
 
     def __missing__(self, word: bytes) -> object:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = self.value(word)
+        value = self.value(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
