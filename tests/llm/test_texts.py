@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from slotwise.llm import license_scan, line_dedup, ngram_jaccard, packing, substring_dedup
+from slotwise.llm import license_scan, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, substring_dedup
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string, rep bigint, n bigint, row int, w string"
 LINE = "This line is long enough to be counted as a shared line of text"
@@ -45,7 +46,7 @@ def test_line_dedup(spark):
                 keys.setdefault(key, set()).add(i)
     key_of = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     kept = {i: [x for x in (t or "").split("\n") if not (len(keys.get(key_of(x), ())) >= 5 and max(keys[key_of(x)]) != i)] for i, t in rows}
-    got = {r.doc_id: (len(r.all_lines), r.kept) for r in line_dedup.with_kept_lines(table(spark, rows)).collect()}
+    got = {r.row.doc_id: (len(r.all_lines), r.kept) for r in line_dedup.with_kept_lines(table(spark, rows)).collect()}
     assert got == {i: (len((t or "").split("\n")), kept[i]) for i, t in rows}
     assert len(kept[30]) == 1 and len(kept[36]) == 3
     cut = line_dedup.drop_lines(table(spark, rows))
@@ -59,6 +60,26 @@ def test_line_dedup_null_ids_repeats_and_no_rows(spark):
     assert line_dedup.drop_lines(table(spark, rows).where("false")).count() == 0
 
 
+def test_a_hot_line_spreads_over_blocks(spark):
+    rows = [(i, f"{LINE}\nown line of document number {i} that is long enough") for i in range(60)]
+    keep = {r.doc_id: [w.word for w in r.keep] for r in line_dedup.keep_bitmaps(table(spark, rows), block_rows=7).collect()}
+    assert set(keep) == set(range(59)) and all(w == [0] for w in keep.values())
+
+
+def test_names_of_the_caller_stay(spark):
+    names = ["kept", "bitmap", "all_lines", "keep", "is_kept", "p_clean", "times", "turn", "w", "copy", "each", "of", "lost", "print"]
+    docs = table(spark, [(i, f"{LINE}\nrest of document {i}") for i in range(8)] + [(9, None)])
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"mine{k}"))
+    mine = [f"mine{k}" for k in range(len(names))]
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    frames = [line_dedup.drop_lines(docs), quality_classifier.acceptable(docs, quality_classifier.fit(docs, none)), mixing.resampled(docs), ngram_jaccard.one_of_each(docs)]
+    for out in frames:
+        assert out.columns == docs.columns
+        assert all([r[n] for n in docs.columns[10:] if n in names] == [m for n, m in zip(names, mine, strict=True) if n in docs.columns[10:]] for r in out.collect())
+    assert [len(r.text.split("\n")) for r in frames[0].orderBy("doc_id").collect() if r.text] == [1] * 7 + [2]
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for i, t in rows:
@@ -159,7 +180,7 @@ def test_repeated_rows_beside_a_partial_copy(spark, bucket):
 
 def test_licenses(spark):
     filler = " ".join(f"word{i}" for i in range(200))
-    grant = license_scan.TEMPLATES["mit-grant"]
+    grant = license_scan.TEMPLATES["mit-grant"][0]
     changed = grant.replace("documentation files", "documentation data")
     rows = [(1, f"{filler} {grant} {filler}"), (2, f"{filler} LICENSED under the Apache\nLicense, Version 2.0. {filler}"), (3, filler), (4, None), (5, ""), (6, f"x {changed}"), (7, "Released under the MIT License"), (8, "All rights reserved. All rights reserved.")]
     found = {(r.doc_id, r.license): r for r in license_scan.scanned(table(spark, rows)).collect()}
@@ -168,9 +189,61 @@ def test_licenses(spark):
     assert license_scan.scanned(table(spark, rows).where("false")).count() == 0
 
 
+def test_rows_of_one_id_are_scanned_one_by_one(spark):
+    grant = license_scan.TEMPLATES["mit-grant"][0]
+    broken = grant.replace(" of charge, to any", " x y z").replace("obtaining a", "u v").replace("associated", "q")
+    for rows in ([(None, broken), (None, grant)], [(None, grant), (None, broken)], [(4, broken), (4, grant), (4, grant)]):
+        found = license_scan.scanned(table(spark, rows)).collect()
+        assert [(r.license, r.containment) for r in found] == [("mit-grant", 1.0)]
+
+
+def brute_licenses(rows, templates, containment):
+    """license and best containment of every text, by all its shingles in windows of twice the class's span."""
+    out = {}
+    for license_, texts_ in templates.items():
+        for text in texts_:
+            t = re.findall("[a-z0-9]+", text.lower())
+            k = min(5, len(t))
+            want = {tuple(t[j : j + k]) for j in range(len(t) - k + 1)}
+            span = 1
+            while span < len(want):
+                span *= 4
+            for i, doc in rows:
+                w = re.split("[^a-z0-9]+", (doc or "").lower())
+                h = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+                for at in range(0, len(h), span):
+                    share = len(want & set(h[at : at + (2 * span if span > 1 else 1)])) / len(want)
+                    if share >= containment:
+                        out[i, license_] = max(share, out.get((i, license_), 0))
+    return out
+
+
+def test_licenses_against_all_windows(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    whole = [t for texts_ in license_scan.TEMPLATES.values() for t in texts_]
+    rows = []
+    for i in range(120):
+        w = whole[i % len(whole)].split()
+        for j in rng.integers(0, len(w), rng.integers(0, 1 + len(w) // 12)):
+            w[j] = word()
+        rows.append((i, " ".join([word() for _ in range(int(rng.integers(0, 80)))] + w + [word() for _ in range(30)])))
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scanned(table(spark, rows)).collect()}
+    want = brute_licenses(rows, license_scan.TEMPLATES, 0.8)
+    assert got == {k: v for k, v in want.items() if k in got} and len(got) >= 0.99 * len(want) and len(want) > 60
+
+
 def test_ids_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
     tokens = packing.token_bytes(packing.tokenizer_file())
-    plain = tokens.model
+    plain = Tokenizer.from_file(packing.tokenizer_file())
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(0x20, 0x250)] + ["\n", " ", " ", "'s", "<|endoftext|>", "1", "2"]
+    for _ in range(300):
+        text = "".join(rng.choice(letters, 60))
+        assert tokens(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert tokens("a <|endoftext|> b") == np.array([64, 220, 50256, 275], dtype="<u4").tobytes()
     for c in [*range(0x250), 0x2028, 0x3000, 0x4E00, 0x1F600]:
         for text in (f"a{chr(c)}b", f"x {chr(c)}{chr(c)} 1b", f"{chr(c)}\n {chr(c)}'s"):
             assert tokens(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
