@@ -176,17 +176,24 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return several.dropDuplicates(["rep", "h"]).drop("h")
 
 
-def links(docs: DataFrame, sets: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) of representatives of different sets that connect all that links connect (a staged table)."""
-    mine = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+def links(docs: DataFrame, mine: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) of representatives of different sets that connect all that links connect (a staged table).
+
+    ``mine`` is the staged table of their sets, which is discarded on the way.
+    """
     keyed = mine.select("rep", F.explode("keys").alias("key"))
+    # Most keys are met once, so that only their number is sent around.
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    keyed = staged(keyed.join(shared, "key"), "shared-keys")
     # One member of each bucket, p, meets the others.
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key", "p")
-    rows = staged(keyed.join(shared, "key").select("key", "p", "rep"), "bucket-rows")
+    pivots = keyed.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key", "p")
+    rows = staged(keyed.join(pivots, "key").select("key", "p", "rep"), "bucket-rows")
+    discard(keyed)
     met = staged(rows.groupBy("p", "rep").agg(F.count(F.lit(1)).alias("shared")), "met")
     # A set that shares fewer keys than a link does, with all others together, has no link.
     own = met.groupBy("rep").agg(F.sum("shared").alias("own"))
     sized = staged(own.join(mine.select("rep", "n", "need", "least", *SKETCH).distinct(), "rep").where("own >= least"), "candidates")
+    discard(mine)
     both = met.where("p <> rep").join(sized.alias("y"), "rep").join(sized.withColumnRenamed("rep", "p").alias("z"), "p")
     star = both.where(_may_link(scheme, "y", "z") & _enough("y", "z"))
     star = staged(star.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
@@ -221,12 +228,17 @@ def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     key = ["n", "sig1", "sig2"]
     classes = staged(sets.where(real).groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
-    pairs = links(docs, sets.where(real), classes.select("rep").distinct(), scheme)
+    members = staged(sets.select("doc_id", *key), "members")
+    reps = classes.select("rep").distinct()
+    mine = sets.where(real).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    mine = staged(mine.drop("sig1", "sig2"), "sets-of-representatives")
+    discard(sets)
+    pairs = links(docs, mine, scheme)
     # A document of several texts connects their classes.
-    own = sets.where(real).select("doc_id", *key).join(classes, key).where(F.col("doc_id") != F.col("rep"))
+    own = members.where(real).join(classes, key).where(F.col("doc_id") != F.col("rep"))
     several = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(pairs.unionByName(several)).select(F.col("node").alias("rep"), "component")
-    members = sets.select("doc_id", *key).join(classes.join(roots, "rep", "left"), key, "left")
+    members = members.join(classes.join(roots, "rep", "left"), key, "left")
     return members.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
