@@ -19,14 +19,19 @@ NUMBERS = ("s", "e", "o", "h", "l", "c", "v", "vw", "z", "x", "i", "p", "pt", "t
 
 def elements(frames: DataFrame) -> DataFrame:
     """epoch, frame, received_s and payload (a JSON array) -> one row per element before the first ambiguous one."""
+
+    def ambiguous(element: Column) -> Column:
+        keys = F.json_object_keys(element)
+        return keys.isNull() | (F.size(keys) != F.size(F.array_distinct(keys)))
+
     parts = F.from_json("payload", "array<string>", LONG_TEXT)
-    rows = frames.select("epoch", "frame", "received_s", F.posexplode(parts).alias("idx", "element"))
-    keys = F.json_object_keys("element")
-    ambiguous = keys.isNull() | (F.size(keys) != F.size(F.array_distinct(keys)))
-    per_frame = rows.groupBy("epoch", "frame").agg(F.min(F.when(ambiguous, F.col("idx"))).alias("fence"))
-    kept = rows.join(per_frame, ["epoch", "frame"]).where(F.col("fence").isNull() | (F.col("idx") < F.col("fence")))
+    parsed = frames.select("epoch", "frame", "received_s", parts.alias("parts"))
+    # The fence is found within the array, so that no frame is shuffled.
+    fence = F.array_position(F.transform("parts", ambiguous), True)
+    kept = F.when(fence > 0, F.slice("parts", F.lit(1), fence.cast("int") - 1)).otherwise(F.col("parts"))
+    rows = parsed.select("epoch", "frame", "received_s", F.posexplode(kept).alias("idx", "element"))
     family = F.get_json_object("element", "$.ev")
-    return kept.select("epoch", "frame", "idx", "received_s", family.alias("family"), F.get_json_object("element", "$.sym").alias("symbol"), "element")
+    return rows.select("epoch", "frame", "idx", "received_s", family.alias("family"), F.get_json_object("element", "$.sym").alias("symbol"), "element")
 
 
 def _number(path: str) -> Column:
