@@ -8,9 +8,10 @@ by int8 codes times a scale; e(x), the norm of what that loses, is computed exac
 multiplied in double precision. A tile returns link counts and a spanning forest of its links, never
 its pairs.
 
-Defined results: a vector that is null, empty, zero or has null or non-finite components, and a row
+Defined results: an empty table gives no rows. A vector that is null, empty, zero or has null or non-finite components, and a row
 whose label or id is null, links with nothing. Vectors of different lengths are not compared. Each row
-counts as a vector of its own, so repeated rows link with each other. Other columns are ignored.
+counts as a vector of its own, so repeated rows link with each other, and rows that share a vec_id but
+not their vector have the links of their own vector each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"),
     )
     key = ["label", "dim", "h1", "h2"]
-    classes = hashed.where("usable").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
-    classes = staged(classes, "vectors")
+    classes = hashed.where("usable").groupBy(*key).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
+    # Classes have numbers of their own, written with them, as several may share a vec_id.
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = classes.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep", "h1"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -128,11 +130,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     found = staged(tiles.groupBy("label", "dim", "low", "high").applyInPandas(_tile(threshold), "rep bigint, links bigint, other bigint"), "tiles")
     links = found.where(F.col("other").isNull()).groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    placed = classes.select(*key, "rep", "least", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    lowest = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = (
-        classes.select(*key, "rep", "n")
-        .join(links, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        placed.join(links, "rep", "left")
+        .join(lowest, "component", "left")
+        .select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
     rows = hashed.select("vec_id", *key, "usable")
     linked_rows = rows.where("usable").join(per_class, key).select("vec_id", "n_links", "component_id")
@@ -142,3 +145,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reached(rid, other) AS (SELECT rid, rid FROM v UNION SELECT r.rid, p.b FROM reached r JOIN pairs p ON p.a = r.other),
+component AS (SELECT r.rid, min(o.vec_id) AS component_id FROM reached r JOIN v o ON o.rid = r.other GROUP BY r.rid)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN component USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM pairs GROUP BY a) USING (rid)
+"""

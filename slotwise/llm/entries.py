@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "quality_rule_signals": quality_rules.quality_rule_signals,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op3_license_scan": license_scan.oracle()}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
+        "op3_license_scan": license_scan.oracle(),
+        "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+        "quality_rule_signals": quality_rules.SIGNALS_SQL,
+    }

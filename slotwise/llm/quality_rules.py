@@ -147,3 +147,26 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def quality_rule_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted columns of ``op5_quality_rules``, which SQL can express."""
+    return op5_quality_rules(spark, sf_dir).drop("probability", "kept")
+
+
+SIGNALS_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents),
+windows AS (
+  SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+repeated AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest(range(0, 8)) AS d) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w),
+doubled AS (SELECT rid, sum(n - 1) AS n FROM (SELECT rid, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY rid, line) GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+       n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * n_words AS base_failed
+FROM counted LEFT JOIN doubled d USING (rid) LEFT JOIN repeated r USING (rid)
+"""
