@@ -13,8 +13,9 @@ page's unlinked text is kept unless an article stands elsewhere. Reader comments
 article, so they are only kept if they hold main, the page's heading or its only article. If nothing
 would be left, classes and ids are disregarded.
 
-Defined results: null, empty or textless html gives an empty string. Repeated rows and null ids are
-extracted each. Other columns are ignored.
+Defined results: null, empty or textless html gives an empty string, and an empty table no rows.
+Repeated rows and null ids are extracted each. Pages are read whole, however long or deep. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -46,11 +48,18 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies discus
 ABSENT = frozenset("no non not has have with without hide hides".split())
 STATES = frozenset("none off on open closed enabled disabled".split())
 BUILDERS = frozenset("elementor siteorigin so sow jet brz".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
+#: A name with its value, as browsers read them: a quote only opens a value right after an equals sign.
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 _PART = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+def attributes_of(text: str) -> list[tuple[str, str]]:
+    """The attributes that can tell noise, with their values."""
+    return [(name.lower(), "".join(values)) for name, *values in _ATTRIBUTE.findall(text) if name.lower() in _ATTRIBUTES]
+
+
 class Node:
     __slots__ = ("tag", "parent", "parts", "children", "noise", "names", "link", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
@@ -69,9 +78,7 @@ def is_noise(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("body", "html"):
         return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        name = name.lower()
+    for name, value in attributes_of(attributes):
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -83,7 +90,7 @@ def noise_names(tag: str, attributes: str) -> list[tuple[str, bool]]:
     """The noise words that the class and id name, and whether each is a whole class or id."""
     if not attributes or tag in ("body", "html", "main"):
         return []
-    values = ["".join(values) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    values = [value for name, value in attributes_of(attributes) if name in ("class", "id")]
     tokens = [[p.lower() for p in _PART.split(token) if p] for value in values for token in html.unescape(value).split()]
     if not any(p in NOISE for parts in tokens for p in parts):
         return []
@@ -104,6 +111,7 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     root.tags = 1
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements; inline ones carry the block around them
+    open_: Counter[str] = Counter()  # how many of each tag are on the stack
     links = 0
     at, end = 0, len(page)
 
@@ -118,9 +126,13 @@ def parse(page: str) -> Node:
 
     def close(names: Iterable[str], barriers: Iterable[str]) -> None:
         nonlocal links
+        if not any(open_[name] for name in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                links -= sum(tag == "a" for tag, _ in stack[k:])
+                gone = Counter(tag for tag, _ in stack[k:])
+                links -= gone["a"]
+                open_.subtract(gone)
                 del stack[k:]
                 return
             if stack[k][0] in barriers:
@@ -139,7 +151,7 @@ def parse(page: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and not open_["p"]:
                 add(" ")
             else:
                 close((tag,), () if tag in INLINE else ("td", "th") if tag in CLOSES_P else ())
@@ -173,12 +185,14 @@ def parse(page: str) -> Node:
                 links += 1
                 block.link_tags += 1
             stack.append((tag, stack[-1][1]))
+            open_[tag] += 1
         else:
             child = Node(tag, block, noise)
             child.names = names
             block.parts.append(child)
             block.children.append(child)
             stack.append((tag, child))
+            open_[tag] += 1
     return root
 
 
@@ -215,6 +229,7 @@ def release(nodes: list[Node]) -> None:
         elsewhere += own
         above[id(node)] = own + (above[id(up)] if up is not None else 0)
     total = plain[id(nodes[0])]
+    single = sum(n.tag == "article" for n in nodes) == 1
     for node in nodes:
         if not node.names:
             continue
@@ -222,7 +237,7 @@ def release(nodes: list[Node]) -> None:
         most = 2 * plain[id(node)] > total
         if id(node) in comment:
             kept = heads[id(node)] or articles[id(node)] == 1 == articles[id(nodes[0])]
-            kept = kept or node.tag == "article" and plain[id(node)] > total and sum(n.tag == "article" for n in nodes) == 1
+            kept = kept or node.tag == "article" and plain[id(node)] > total and single
         elif node.tag == "article":
             kept = most or alone and articles[id(nodes[0])] == 0
         else:
