@@ -1,9 +1,11 @@
 """Classifiers on held-out rows, page extraction, mixing, vectors, components and the pipeline."""
 
 import os
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slotwise.llm import embedding_dedup, html_text, linear, mixing, quality_classifier, quality_rules
 from slotwise.llm.components import components
@@ -76,6 +78,18 @@ def test_pages(spark):
     assert sorted(r.n_chars for r in html_text.extracted(pages).collect()) == [0, 1, len(html_text.main_text(page))]
 
 
+def test_broken_quotes_and_deep_pages(spark):
+    assert html_text.main_text(f'<p title="5" wide">{"FIRST words here " * 20}</p>') == ("FIRST words here " * 20).strip()
+    assert html_text.main_text(f"<div data-id='sidebar' title='a class=nav b'><p>{TEXT}</p></div>") == TEXT.strip()
+    began = time.time()
+    for deep in ("<div>" * 20_000 + TEXT + "</p>" * 20_000, "<div>" * 20_000 + TEXT + "</div>" * 20_000, "<b><div class='comment'>x</div>" * 5_000 + TEXT):
+        assert TEXT.strip() in html_text.main_text(deep)
+    assert time.time() - began < 20
+    pages = spark.createDataFrame([(1, "u", f"<p>{TEXT * 2000}", 5), (1, "u", f"<p>{TEXT * 2000}", 5)], "page_id bigint, url string, html string, text int")
+    assert [r.n_chars for r in html_text.extracted(pages).collect()] == [len((TEXT * 2000).strip())] * 2
+    assert html_text.extracted(pages.where("false")).count() == 0
+
+
 TEXT = "A sentence of the article that is long enough to be read, with a comma. " * 8
 
 
@@ -183,6 +197,13 @@ def test_vectors(spark, block):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (3, 0, [0.01, 1.0]), (1, 0, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").withColumn("rep", F.lit("x")).withColumn("component", F.lit("y"))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
