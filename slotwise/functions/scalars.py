@@ -119,3 +119,31 @@ def share_text(value: Column) -> Column:
 def field(status: Column, reason: Column, value: Column) -> Column:
     """A measurement: its value is null unless it is current."""
     return F.struct(status.alias("status"), reason.alias("reason"), F.when(status == "current", value).alias("value"))
+
+
+def checked_sum(a: Column, b: Column) -> Column:
+    """a + b; null unless both and their sum are finite."""
+    return F.when(finite(a) & finite(b) & finite(a + b), a + b)
+
+
+def acknowledged_second(micros: Column, first_s: int, last_s: int) -> Column:
+    """The whole second at or after a receipt (in microseconds), inside the session."""
+    return F.least(F.greatest(F.ceil(micros / 1_000_000), F.lit(first_s)), F.lit(last_s))
+
+
+def gradient(value: Column, stops: list[tuple[float, str]]) -> Column:
+    """The colour of a value between the stops (position, #RRGGBB), each channel interpolated and rounded half up."""
+    at = F.least(F.greatest(value.cast("double"), F.lit(float(stops[0][0]))), F.lit(float(stops[-1][0])))
+    out = F.lit(stops[-1][1])
+    for (low, start), (high, end) in reversed(list(zip(stops, stops[1:], strict=False))):
+        part = (at - low) / (high - low) if high > low else F.lit(0.0)
+        channels = [(int(start[k : k + 2], 16), int(end[k : k + 2], 16)) for k in (1, 3, 5)]
+        mixed = [F.lpad(F.hex(F.floor(F.lit(a) + part * (b - a) + 0.5).cast("bigint")), 2, "0") for a, b in channels]
+        out = F.when(at <= high, F.concat(F.lit("#"), *mixed)).otherwise(out)
+    return F.when(finite(value.cast("double")), out)
+
+
+def rfc3339(ts: Column) -> Column:
+    """A timestamp as UTC text with no more digits of a second than it needs."""
+    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.?0*$", ""), F.lit("Z"))

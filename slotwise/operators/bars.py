@@ -51,3 +51,20 @@ def cumulative_volume(bars: DataFrame) -> DataFrame:
 
     running = Window.partitionBy("symbol").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return bars.withColumn("cumulative", F.sum("volume").over(running))
+
+
+def folded_prefix(bars: DataFrame, before: int) -> DataFrame:
+    """What is left of a symbol's bars older than ``before``: volume, prints, first open, extrema and the latest bar."""
+    return bars.where(F.col("slot") < before).groupBy("symbol").agg(
+        F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("prints"), F.min("slot").alias("first_slot"), F.min_by("open", "slot").alias("first_open"),
+        F.max("high").alias("high"), F.min("low").alias("low"), F.max("slot").alias("latest_slot"), F.max_by("close", "slot").alias("latest_close"),
+    )
+
+
+def continued(prefix: DataFrame, tail: DataFrame) -> DataFrame:
+    """A prefix joined with the fold of the bars after it: the same as a fold of them all."""
+    each = prefix.unionByName(tail)
+    return each.groupBy("symbol").agg(
+        F.sum("volume").alias("volume"), F.sum("prints").alias("prints"), F.min("first_slot").alias("first_slot"), F.min_by("first_open", "first_slot").alias("first_open"),
+        F.max("high").alias("high"), F.min("low").alias("low"), F.max("latest_slot").alias("latest_slot"), F.max_by("latest_close", "latest_slot").alias("latest_close"),
+    )

@@ -138,3 +138,31 @@ def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, con
 
 def trust_rank(status: Column) -> Column:
     return F.when(status == "current", 3).when(status == "warming", 2).when(status == "unavailable", 1).otherwise(0)
+
+
+#: Fields that need the session's history; the second kind is unavailable without it even if it was invalid.
+HISTORY = ("volume", "activity", "move")
+HISTORY_ALWAYS = ("from_open", "day_range")
+
+
+def without_history(fields: DataFrame, unknown: Column) -> DataFrame:
+    """``fields`` (name, status, reason, value) where the history fields of symbols with unknown coverage are unavailable."""
+    hit = unknown & (F.col("name").isin(*HISTORY_ALWAYS) | F.col("name").isin(*HISTORY) & (F.col("status") != "invalid"))
+    masked = {"status": F.lit("unavailable"), "reason": F.lit("history_incomplete"), "value": F.lit(None)}
+    return fields.select(*(F.when(hit, masked[c]).otherwise(F.col(c)).alias(c) if c in masked else F.col(c) for c in fields.columns))
+
+
+# The reasons that each status may have.
+REASONS = {
+    "current": ("",),
+    "warming": ("before_first_print", "history_incomplete", "rolling_warmup", "reference_warmup"),
+    "unavailable": ("before_first_print", "history_incomplete", "zero_width", "prior_close_unavailable"),
+    "invalid": ("historical_conflict", "invalid_input", "state_bound_exceeded"),
+}
+
+
+def pair_valid(status: Column, reason: Column) -> Column:
+    out = F.lit(False)
+    for name, reasons in REASONS.items():
+        out = F.when(status == name, reason.isin(*reasons)).otherwise(out)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.plans import queries as registered
-from slotwise.plans import wire_queries  # noqa: F401  (registers its queries)
+from slotwise.plans import more_queries, wire_queries  # noqa: F401  (they register their queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
