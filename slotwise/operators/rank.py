@@ -29,12 +29,14 @@ def population_bucket(has_prior: Column, known: Column, mark: Column, no_print:
     )
 
 
-def ranking_mode(lifecycle: Column, unknown: Column, unresolved: Column, rankable: Column, only_bootstrap: Column) -> Column:
-    """mode and reason of a ranking from population counts."""
+def ranking_mode(lifecycle: Column, unknown: Column, unresolved: Column, rankable: Column, only_bootstrap: Column, lost: Column | None = None) -> Column:
+    """mode and reason of a ranking from population counts; stale when its connection was lost while live."""
     live = lifecycle.isin("live", "hydrating")
     why = F.when(unknown != 0, "incomplete_population").otherwise("qualification_pending")
+    stale = F.lit(False) if lost is None else F.coalesce(lost, F.lit(False))
     return (
-        F.when(~live, F.struct(F.lit("unavailable").alias("mode"), F.lit("no_committed_watermark").alias("reason")))
+        F.when(stale, F.struct(F.lit("stale").alias("mode"), F.lit("").alias("reason")))
+        .when(~live, F.struct(F.lit("unavailable").alias("mode"), F.lit("no_committed_watermark").alias("reason")))
         .when((unknown == 0) & (unresolved == 0), F.struct(F.lit("qualified_current").alias("mode"), F.lit("").alias("reason")))
         .when((lifecycle == "hydrating") & (rankable > 0) & only_bootstrap, F.struct(F.lit("degraded_bootstrap").alias("mode"), why.alias("reason")))
         .when(rankable > 0, F.struct(F.lit("degraded_current").alias("mode"), why.alias("reason")))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import scalars
-from slotwise.operators import admission, bars, features
-from slotwise.plans.queries import AT, HOUR, QUERIES, SQL, START, TICKS, bars_cte, hourly, query
+from slotwise.operators import admission, bars, features, status
+from slotwise.plans.queries import AT, HOUR, MEASURED, QUERIES, SQL, START, TICKS, _measured, bars_cte, hourly, query
 from slotwise.sources.tables import epoch_seconds, read, ticks
 
 FROM, TO, COMMITTED, HORIZON = START * HOUR, (START + 700) * HOUR, AT * HOUR, 300 * HOUR
@@ -109,3 +109,40 @@ def clock_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.clamp_target(epoch_seconds(), F.lit(FROM), F.lit(AT * HOUR), 4).alias("target"), scalars.rfc3339(ts).alias("received"),
         F.col("event_id").cast("string").alias("counter"), scalars.checked_sum(F.col("value"), other).alias("checked"), scalars.gradient(F.col("value"), STOPS).alias("colour"),
     )
+
+
+@query(f"""WITH {bars_cte()}, {MEASURED} SELECT symbol, last, {AT} - mark_slot - 1 AS mark_age, CASE WHEN bad THEN 'invalid' WHEN NOT a_ok THEN 'unavailable' ELSE 'current' END AS status,
+  CASE WHEN bad THEN 'invalid_input' WHEN NOT a_ok THEN 'history_incomplete' ELSE '' END AS reason, CASE WHEN NOT bad AND a_ok THEN percentile END AS value
+FROM ms LEFT JOIN ({SQL["activity_percentile"]}) a USING (symbol)""")
+def activity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity with its status, the mark and its age."""
+    rows = _measured(spark, sf_dir)
+    return rows.select("symbol", "last", "mark_age", "activity.status", "activity.reason", F.round("activity.value", 6).alias("value"))
+
+
+@query("""SELECT o_orderkey AS cycle, CAST(CASE WHEN o_orderstatus <> 'F' AND o_custkey % 4 <> 0 AND o_custkey % 7 >= 3 AND o_totalprice > 60000 THEN greatest(o_orderkey + 3, coalesce(prior, o_orderkey + 3)) ELSE prior END AS DOUBLE) AS committed
+FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + o_custkey % 5 END AS prior FROM orders)""")
+def committed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed time after a cycle: it advances only if connection, fence, support and accounting allow it, and never back."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = read(spark, sf_dir, "orders").select(
+        o.alias("cycle"), (F.col("o_orderstatus") != "F").alias("epoch_active"), (c % 4 != 0).alias("fence_reconciled"), (o + c % 7).alias("support"), (o + 3).alias("target"),
+        (F.col("o_totalprice") > 60_000).alias("accounting_valid"), F.when(o % 3 != 0, o + c % 5).alias("committed"),
+    )
+    return state.select("cycle", status.watermark(state).cast("double").alias("committed"))
+
+
+@query("""SELECT 'deep_discount' AS "check", count(*) AS n FROM lineitem WHERE l_discount > 0.09 HAVING count(*) > 0
+UNION ALL SELECT 'no_quantity', count(*) FROM lineitem WHERE l_quantity <= 0 HAVING count(*) > 0
+UNION ALL SELECT 'orders_without_lines', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0
+UNION ALL SELECT 'lines_without_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0""")
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks that find rows, with their number; a check that holds leaves no row."""
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    checks = {
+        "deep_discount": lines.where(F.col("l_discount") > 0.09),
+        "no_quantity": lines.where("l_quantity <= 0"),
+        "orders_without_lines": orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"),
+        "lines_without_order": lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"),
+    }
+    return status.violations(checks)

@@ -352,9 +352,9 @@ MODES = """modes AS (SELECT o_orderpriority AS case_id, CASE WHEN o_orderpriorit
   count(*) FILTER (o_orderstatus = 'O') AS rankable, o_orderpriority LIKE '1%' AS boot FROM orders GROUP BY o_orderpriority)"""
 
 
-@query(f"""WITH {MODES} SELECT case_id, CASE WHEN lifecycle NOT IN ('live', 'hydrating') THEN 'unavailable' WHEN unknown = 0 AND unresolved = 0 THEN 'qualified_current'
+@query(f"""WITH {MODES} SELECT case_id, CASE WHEN case_id LIKE '2%' THEN 'stale' WHEN lifecycle NOT IN ('live', 'hydrating') THEN 'unavailable' WHEN unknown = 0 AND unresolved = 0 THEN 'qualified_current'
   WHEN lifecycle = 'hydrating' AND rankable > 0 AND boot THEN 'degraded_bootstrap' WHEN rankable > 0 THEN 'degraded_current' ELSE 'unavailable' END AS mode,
-  CASE WHEN lifecycle NOT IN ('live', 'hydrating') THEN 'no_committed_watermark' WHEN unknown = 0 AND unresolved = 0 THEN '' WHEN rankable > 0 AND unknown <> 0 THEN 'incomplete_population'
+  CASE WHEN case_id LIKE '2%' THEN '' WHEN lifecycle NOT IN ('live', 'hydrating') THEN 'no_committed_watermark' WHEN unknown = 0 AND unresolved = 0 THEN '' WHEN rankable > 0 AND unknown <> 0 THEN 'incomplete_population'
   WHEN rankable > 0 THEN 'qualification_pending' ELSE 'no_trusted_marks' END AS reason FROM modes""")
 def ranking_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
@@ -362,7 +362,7 @@ def ranking_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "orders").groupBy(p.alias("case_id"), lifecycle.alias("lifecycle"), p.startswith("1").alias("boot")).agg(
         F.count_if(s == "P").alias("unknown"), F.count_if((s == "F") & ~p.startswith("3")).alias("unresolved"), F.count_if(s == "O").alias("rankable")
     )
-    mode = rank.ranking_mode(F.col("lifecycle"), F.col("unknown"), F.col("unresolved"), F.col("rankable"), F.col("boot"))
+    mode = rank.ranking_mode(F.col("lifecycle"), F.col("unknown"), F.col("unresolved"), F.col("rankable"), F.col("boot"), F.col("case_id").startswith("2"))
     return counts.select("case_id", mode.alias("m")).select("case_id", "m.mode", "m.reason")
 
 
