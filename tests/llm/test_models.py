@@ -233,6 +233,9 @@ def test_pipeline(spark):
     assert fourth.columns == names and ids(fourth) <= ids(third)
     packed = stages["best_fit_packing"](spark, fourth, DATA)
     assert packed.where("piece = 0").count() == fourth.count()
+    pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rows = lambda df: sorted(map(tuple, df.select(*pieces).collect()))
+    assert rows(corpus_pipeline.run(spark, DATA)) == rows(packed)
     assert brute_components([(1, "a b c d e f"), (2, "a b c d e f")], 5, 80)[2][1] == 1
 
 
