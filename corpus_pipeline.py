@@ -1,6 +1,6 @@
 """A corpus made ready for training in five stages, each an operator of ``slotwise.llm``.
 
-Poor documents go, lines that many documents share are cut, one document of each group of near copies
+Poor and toxic documents go, lines that many documents share are cut, one document of each group of near copies
 stays, sources are mixed to their target weights (documents go or repeat), and what is left is packed.
 A stage gets what its predecessor kept, as a Parquet table with the columns of ``documents``.
 """
@@ -16,7 +16,7 @@ NEAR_COPY = ngram_jaccard.Scheme(size=5, percent=80)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is probably acceptable; the model is fitted on the labels of sf_dir."""
+    """Documents whose text is probably acceptable and not toxic; the model is fitted on the labels of sf_dir."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.acceptable(docs, model)
 
@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", pack_documents),
 ]
 
-#: A trained model, random rounding and packing have no SQL form; tests hold run() against brute force.
+#: A trained model, random rounding and packing have no SQL form; tests hold the stages against brute force and run() against the stages.
 ORACLE_SQL = None
 
 
