@@ -136,16 +136,25 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = words.Cache(lambda word: sum(model.weight[k] * x for k, x in word_features(word)))
-        mark = words.Cache(lambda word: k if model.weight[k := presence(word)] else 0)
+        marked: dict[bytes, int] = {}  # the few words seen whose presence has a weight
+
+        def of_word(word: bytes) -> float:
+            if model.weight[k := presence(word)]:
+                marked[word] = k
+            return sum(model.weight[k] * x for k, x in word_features(word))
+
+        part = words.Cache(of_word)
         for batch in batches:
+            if len(marked) >= words.CACHE_WORDS:
+                marked.clear()
+                part.clear()
             total, any_word = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
             for i, text in enumerate(batch.column(0).field(at)):
                 tokens = (text.as_py() or "").encode().split()
                 if tokens:
                     any_word[i] = True
                     total[i] = (sum(map(part.__getitem__, tokens)) + model.weight[_REPEAT] * repeats(tokens)) / len(tokens)
-                    total[i] += sum(model.weight[k] for k in set(map(mark.__getitem__, tokens)) if k)
+                    total[i] += sum(model.weight[k] for k in sorted({marked[t] for t in marked.keys() & set(tokens)}))
             tails = np.where(any_word[:, None], model.tails(total), 0.0)
             new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(any_word & (tails[:, 1] >= KEEP))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=names)
