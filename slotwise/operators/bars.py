@@ -68,3 +68,24 @@ def continued(prefix: DataFrame, tail: DataFrame) -> DataFrame:
         F.sum("volume").alias("volume"), F.sum("prints").alias("prints"), F.min("first_slot").alias("first_slot"), F.min_by("first_open", "first_slot").alias("first_open"),
         F.max("high").alias("high"), F.min("low").alias("low"), F.max("latest_slot").alias("latest_slot"), F.max_by("latest_close", "latest_slot").alias("latest_close"),
     )
+
+
+def without_withdrawn(prefix: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """A prefix after some of the bars folded into it were withdrawn, with what can still be trusted.
+
+    The bars are gone, so that the opening, the extrema or the latest close that a withdrawn bar gave cannot
+    be replaced: it becomes null and its flag false. A prefix has a row per symbol; withdrawals are summed first.
+    """
+    facts = prefix.select("symbol", "first_slot", F.col("high").alias("highest"), F.col("low").alias("lowest"), "latest_slot")
+    hit = withdrawn.join(facts, "symbol").groupBy("symbol").agg(
+        F.sum("volume").alias("less"), F.count(F.lit(1)).alias("fewer"), F.max(F.col("slot") == F.col("first_slot")).alias("opening"),
+        F.max((F.col("high") == F.col("highest")) | (F.col("low") == F.col("lowest"))).alias("extreme"), F.max(F.col("slot") == F.col("latest_slot")).alias("ending"),
+    )
+    rows = prefix.join(hit, "symbol", "left")
+    trusted = {name: ~F.coalesce(name, F.lit(False)) for name in ("opening", "extreme", "ending")}
+    given = {"first_open": "opening", "high": "extreme", "low": "extreme", "latest_close": "ending"}
+    return rows.select(
+        "symbol", F.greatest(F.col("volume") - F.coalesce("less", F.lit(0)), F.lit(0)).alias("volume"), (F.col("prints") - F.coalesce("fewer", F.lit(0))).alias("prints"),
+        *(F.when(trusted[by], F.col(name)).alias(name) for name, by in given.items()),
+        trusted["opening"].alias("open_trusted"), trusted["extreme"].alias("extrema_trusted"), trusted["ending"].alias("latest_trusted"),
+    )

@@ -66,3 +66,49 @@ def slot_class(present: DataFrame, absent: DataFrame, conflict: DataFrame, slots
         out = out.join(flag(df, name), ["symbol", "slot"], "left")
     kind = F.when(F.col("c"), "conflict").when(F.col("p"), "present").when(F.col("q"), "proven_absent").otherwise("unknown")
     return out.select("symbol", "slot", kind.alias("class"))
+
+
+def extended(universe: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, marks: DataFrame, start: int, since: int, until: int) -> DataFrame:
+    """symbol and consequence after the live fence has proven [since, until) for every symbol of ``universe``.
+
+    ``universe`` has symbol and unknown (the origin of an uncertainty that stands already, or null), ``intervals``
+    what was covered before, ``invalid`` slots of rejected bars, ``marks`` the slots of the bars that stand.
+    An uncertainty that stands is not lifted here. A bar that was rejected inside the new interval keeps it from being exact.
+    """
+    span = universe.select("symbol", F.lit(start).cast("bigint").alias("lo"), F.lit(until).cast("bigint").alias("hi"))
+    new = universe.select("symbol", F.lit(since).cast("bigint").alias("a"), F.lit(until).cast("bigint").alias("b"))
+    trust = covered(merged(intervals.select("symbol", "a", "b").unionByName(new)), conflicts, span).select("symbol", "exact")
+    rejected = invalid.where((F.col("slot") >= since) & (F.col("slot") < until)).select("symbol").distinct().withColumn("rejected", F.lit(True))
+    printed = marks.where((F.col("slot") >= start) & (F.col("slot") < until)).select("symbol").distinct().withColumn("printed", F.lit(True))
+    rows = universe.join(trust, "symbol", "left").join(rejected, "symbol", "left").join(printed, "symbol", "left")
+    consequence = (
+        F.when(F.col("unknown").isNotNull(), F.col("unknown"))
+        .when(F.col("rejected").isNotNull() | ~F.coalesce("exact", F.lit(False)), "unknown_post_bootstrap")
+        .when(F.col("printed").isNull(), "no_print_through_t")
+        .otherwise("none")
+    )
+    return rows.select("symbol", consequence.alias("consequence"))
+
+
+def later_mark_decision(universe: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, marks: DataFrame, start: int, at: int) -> DataFrame:
+    """symbol and decision: whether a later live mark lets a symbol be ranked whose earlier slots are unknown.
+
+    ``universe`` has symbol and unknown (boolean), ``marks`` symbol, slot and live (whether a live delivery stands).
+    The mark is the last one in [start, at); nothing from it on may be in conflict, rejected or unknown.
+    """
+    inside = marks.where((F.col("slot") >= start) & (F.col("slot") < at))
+    last = inside.groupBy("symbol").agg(F.max("slot").alias("mark"), F.max_by("live", "slot").alias("live"))
+    span = last.select("symbol", F.col("mark").alias("lo"), F.lit(at).cast("bigint").alias("hi"))
+    trust = covered(intervals, conflicts, span).select("symbol", "exact", "conflicted")
+    rejected = invalid.where(F.col("slot") < at).groupBy("symbol").agg(F.max("slot").alias("rejected"))
+    rows = universe.join(last, "symbol", "left").join(trust, "symbol", "left").join(rejected, "symbol", "left")
+    decision = (
+        F.when(~F.coalesce("unknown", F.lit(False)), "not_applicable")
+        .when(F.col("mark").isNull(), "no_later_eligible_mark")
+        .when(~F.coalesce("live", F.lit(False)), "latest_mark_not_live")
+        .when(F.col("conflicted"), "conflict_at_or_after_mark")
+        .when(F.col("rejected") >= F.col("mark"), "invalid_at_or_after_mark")
+        .when(~F.col("exact"), "incomplete_post_mark_coverage")
+        .otherwise("trusted_by_later_live_mark")
+    )
+    return rows.select("symbol", decision.alias("decision"))

@@ -162,3 +162,13 @@ def canonical(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
 
 def conflict_slots(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
     return merged(deliveries, horizon).where("conflict and bar is null").select("symbol", "slot")
+
+
+def against_sealed(historical: DataFrame, sealed: DataFrame) -> DataFrame:
+    """symbol, slot and comparison of each historical bar with the sealed live one: unmatched, equal or different.
+
+    Both have symbol, slot and bar (a struct of values); ``sealed`` has at most one row per identity.
+    """
+    live = sealed.select("symbol", "slot", F.col("bar").alias("live_bar"))
+    comparison = F.when(F.col("live_bar").isNull(), "unmatched").when(F.col("bar").eqNullSafe(F.col("live_bar")), "equal").otherwise("different")
+    return historical.join(live, ["symbol", "slot"], "left").select("symbol", "slot", comparison.alias("comparison"))
