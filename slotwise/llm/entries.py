@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup
+from . import byte_pairs, embedding_dedup, html_text, license_scan, line_dedup, merkle, mixing, ngram_jaccard, packing, prefix_trie, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
         "quality_rule_signals": quality_rules.quality_rule_signals,
     }
 
@@ -31,5 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": ngram_jaccard.OP2_SQL,
         "op3_license_scan": license_scan.oracle(),
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.oracle(),
+        "op13_merkle_manifest": merkle.oracle(),
         "quality_rule_signals": quality_rules.SIGNALS_SQL,
     }

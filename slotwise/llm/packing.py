@@ -9,7 +9,8 @@ with running offsets, so that a very common length is no hot task) and each piec
 configuration that its rank falls in.
 
 Defined results: a null text is an empty one, which is the end token alone; a null doc_id is packed
-like any other; repeated rows are packed each. No rows give no pieces. Other columns are ignored.
+like any other; repeated rows are packed each. No rows give no pieces. Texts of any length are encoded whole,
+long runs of white space included. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ END_ID = 0
 CAPACITY = 2048
 CHUNK_ROWS = 100_000
 _OTHER_SCRIPT = re.compile("[^\x00-\u024f]")
+#: The faster library fails on runs of white space some ten times as long.
+_LONG_SPACE = re.compile(r"\s{10000}")
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -46,8 +49,8 @@ class TokenBytes:
 
     The tokenizer file decides the ids. Texts of Latin script are encoded from the same vocabulary
     by the faster of the two installed libraries (their ids agree on these characters, which the
-    tests check one by one); any other text, and one that spells out a token added to the vocabulary,
-    is encoded by the file's own library.
+    tests check one by one); any other text, one that spells out a token added to the vocabulary, and one
+    with a long run of white space are encoded by the file's own library.
     """
 
     def __init__(self, path: str):
@@ -58,7 +61,7 @@ class TokenBytes:
         self.fast = _same_vocabulary(path)
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is not None and not _OTHER_SCRIPT.search(text) and not any(token in text for token in self.added):
+        if self.fast is not None and not _OTHER_SCRIPT.search(text) and not _LONG_SPACE.search(text) and not any(token in text for token in self.added):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.model.encode(text, add_special_tokens=False).ids
