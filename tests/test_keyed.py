@@ -90,7 +90,7 @@ def test_repeats_in_later_files(spark, tmp_path):
     r = random.Random(1)
     trades = [(r.choice("AB"), r.randrange(9), seq, r.choice([1.0, 1.0, 1.0, 2.0]), None) for seq in range(120)]
     batches = [trades[:40], trades[40:90], trades[90:]]
-    typed = stream(spark, tmp_path, batches, schema).withColumn("at", F.timestamp_seconds(F.col("seq")))
+    typed = stream(spark, tmp_path, batches, schema).withColumn("at", F.timestamp_seconds(F.col("seq") + 10_000))
     got = keyed.latest_updates(keyed.repeated(typed, ["symbol", "id"], ["price"], 1000, 1000), str(tmp_path), ["symbol", "id"]).collect()
     batch = tape.distinct_trades(spark.createDataFrame(trades, schema).drop("at"), ["symbol", "id"], ["price"]).collect()
     assert sorted((x.symbol, x.id, x.seq, x.copies, x.unequal) for x in got) == sorted((x.symbol, x.id, x.seq, x.copies, x.unequal) for x in batch)
