@@ -62,19 +62,29 @@ def folded_prefix(bars: DataFrame, before: int) -> DataFrame:
 
 
 def continued(prefix: DataFrame, tail: DataFrame) -> DataFrame:
-    """A prefix joined with the fold of the bars after it: the same as a fold of them all."""
-    each = prefix.unionByName(tail)
-    return each.groupBy("symbol").agg(
+    """A prefix joined with the fold of the bars after it: the same as a fold of them all.
+
+    A prefix from which bars were withdrawn stays in doubt where it was, but for a latest close that is newer.
+    """
+    flags = ("open_trusted", "extrema_trusted", "latest_trusted")
+    doubted = "extrema_trusted" in prefix.columns
+    sides = [df if "extrema_trusted" in df.columns else df.select("*", *(F.lit(True).alias(f) for f in flags)) for df in (prefix, tail)]
+    each = sides[0].unionByName(sides[1])
+    sound = F.bool_and("extrema_trusted")
+    folded = each.groupBy("symbol").agg(
         F.sum("volume").alias("volume"), F.sum("prints").alias("prints"), F.min("first_slot").alias("first_slot"), F.min_by("first_open", "first_slot").alias("first_open"),
-        F.max("high").alias("high"), F.min("low").alias("low"), F.max("latest_slot").alias("latest_slot"), F.max_by("latest_close", "latest_slot").alias("latest_close"),
+        F.when(sound, F.max("high")).alias("high"), F.when(sound, F.min("low")).alias("low"), F.max("latest_slot").alias("latest_slot"), F.max_by("latest_close", "latest_slot").alias("latest_close"),
+        F.min_by("open_trusted", "first_slot").alias("open_trusted"), sound.alias("extrema_trusted"), F.max_by("latest_trusted", "latest_slot").alias("latest_trusted"),
     )
+    return folded if doubted else folded.drop(*flags)
 
 
 def without_withdrawn(prefix: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """A prefix after some of the bars folded into it were withdrawn, with what can still be trusted.
 
     The bars are gone, so that the opening, the extrema or the latest close that a withdrawn bar gave cannot
-    be replaced: it becomes null and its flag false. A prefix has a row per symbol; withdrawals are summed first.
+    be replaced: it becomes null and its flag false, for good. Its place stays, so that ``continued`` folds on. A prefix has a
+    row per symbol; withdrawals are summed first, and what was never there takes nothing away.
     """
     facts = prefix.select("symbol", "first_slot", F.col("high").alias("highest"), F.col("low").alias("lowest"), "latest_slot")
     hit = withdrawn.join(facts, "symbol").groupBy("symbol").agg(
@@ -85,7 +95,7 @@ def without_withdrawn(prefix: DataFrame, withdrawn: DataFrame) -> DataFrame:
     trusted = {name: ~F.coalesce(name, F.lit(False)) for name in ("opening", "extreme", "ending")}
     given = {"first_open": "opening", "high": "extreme", "low": "extreme", "latest_close": "ending"}
     return rows.select(
-        "symbol", F.greatest(F.col("volume") - F.coalesce("less", F.lit(0)), F.lit(0)).alias("volume"), (F.col("prints") - F.coalesce("fewer", F.lit(0))).alias("prints"),
-        *(F.when(trusted[by], F.col(name)).alias(name) for name, by in given.items()),
+        "symbol", F.greatest(F.col("volume") - F.coalesce("less", F.lit(0)), F.lit(0)).alias("volume"), F.greatest(F.col("prints") - F.coalesce("fewer", F.lit(0)), F.lit(0)).alias("prints"),
+        *(F.when(trusted[by], F.col(name)).alias(name) for name, by in given.items()), "first_slot", "latest_slot",
         trusted["opening"].alias("open_trusted"), trusted["extreme"].alias("extrema_trusted"), trusted["ending"].alias("latest_trusted"),
     )

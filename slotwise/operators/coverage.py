@@ -43,29 +43,34 @@ def subtracted(intervals: DataFrame, holes: DataFrame) -> DataFrame:
 def covered(intervals: DataFrame, conflicts: DataFrame, spans: DataFrame) -> DataFrame:
     """For each span (symbol, lo, hi): covered slots, and exact: all covered and none in conflict.
 
-    ``intervals`` are disjoint per symbol (present or proven absent).
+    ``intervals`` are disjoint per symbol (present or proven absent). One sort a symbol of all starts and of
+    the spans' ends: what is covered before a point is the length of the intervals begun, less what of the last
+    one lies ahead, so that spans and intervals are never paired.
     """
-    overlap = F.greatest(F.least("b", "hi") - F.greatest("a", "lo"), F.lit(0))
-    touching = lambda df, name: (
-        spans.join(df, "symbol").where((F.col("a") < F.col("hi")) & (F.col("b") > F.col("lo"))).groupBy("symbol", "lo", "hi").agg(F.sum(overlap).alias(name))
-    )
-    keys = ["symbol", "lo", "hi"]
-    both = spans.join(touching(intervals, "covered"), keys, "left").join(touching(conflicts, "in_conflict"), keys, "left")
-    n, bad = F.coalesce("covered", F.lit(0)), F.coalesce("in_conflict", F.lit(0))
-    return both.select(*keys, n.alias("covered"), ((n == F.col("hi") - F.col("lo")) & (bad == 0)).alias("exact"), (bad > 0).alias("conflicted"))
+    lengths = lambda df, name: df.select("symbol", F.col("a").alias("at"), (F.col("b") - F.col("a")).alias(f"n_{name}"), F.col("b").alias(f"b_{name}"))
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("sign"))))
+    points = spans.select("symbol", "lo", "hi").distinct().select("symbol", "lo", "hi", ends.alias("e")).select("symbol", "lo", "hi", "e.at", "e.sign")
+    rows = points.unionByName(lengths(intervals, "c"), allowMissingColumns=True).unionByName(lengths(merged(conflicts), "x"), allowMissingColumns=True)
+    begun = Window.partitionBy("symbol").orderBy("at")
+    before = lambda name: F.coalesce(F.sum(f"n_{name}").over(begun) - F.greatest(F.max(f"b_{name}").over(begun) - F.col("at"), F.lit(0)), F.lit(0))
+    counted = rows.select("symbol", "lo", "hi", "sign", before("c").alias("c"), before("x").alias("x")).where("sign is not null")
+    both = counted.groupBy("symbol", "lo", "hi").agg(F.sum(F.col("c") * F.col("sign")).alias("n"), F.sum(F.col("x") * F.col("sign")).alias("bad"))
+    n, bad = F.greatest("n", F.lit(0)), F.col("bad")
+    return both.select("symbol", "lo", "hi", n.alias("covered"), ((n == F.col("hi") - F.col("lo")) & (bad <= 0)).alias("exact"), (bad > 0).alias("conflicted"))
 
 
 def slot_class(present: DataFrame, absent: DataFrame, conflict: DataFrame, slots: DataFrame) -> DataFrame:
-    """The class of single slots (symbol, slot); conflict outranks present, present outranks absent."""
-    def flag(df: DataFrame, name: str) -> DataFrame:
-        hit = slots.join(df, "symbol").where((F.col("a") <= F.col("slot")) & (F.col("slot") < F.col("b")))
-        return hit.select("symbol", "slot").distinct().withColumn(name, F.lit(True))
+    """The class of single slots (symbol, slot); conflict outranks present, present outranks absent.
 
-    out = slots
+    One sort a symbol: an interval covers a slot if any that has begun by then reaches beyond it.
+    """
+    rows = slots.select("symbol", F.col("slot").alias("at"), F.lit(True).alias("asked"))
     for df, name in ((present, "p"), (absent, "q"), (conflict, "c")):
-        out = out.join(flag(df, name), ["symbol", "slot"], "left")
-    kind = F.when(F.col("c"), "conflict").when(F.col("p"), "present").when(F.col("q"), "proven_absent").otherwise("unknown")
-    return out.select("symbol", "slot", kind.alias("class"))
+        rows = rows.unionByName(df.select("symbol", F.col("a").alias("at"), F.col("b").alias(name)), allowMissingColumns=True)
+    begun = Window.partitionBy("symbol").orderBy("at")
+    inside = lambda name: F.max(name).over(begun) > F.col("at")
+    kind = F.when(inside("c"), "conflict").when(inside("p"), "present").when(inside("q"), "proven_absent").otherwise("unknown")
+    return rows.withColumn("class", kind).where("asked").select("symbol", F.col("at").alias("slot"), "class")
 
 
 def extended(universe: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, marks: DataFrame, start: int, since: int, until: int) -> DataFrame:

@@ -110,9 +110,9 @@ def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, con
     position = range_position(last, low, high)
     move = percent_move(last, F.col("base_mark.close"))
     volume = _status((bad_session, "invalid", "invalid_input"), *history("session"))
-    from_close = _status((~F.coalesce(finite_positive(F.col("prior_close")), no), "unavailable", "prior_close_unavailable"), (F.col("mark").isNull(), "unavailable", "no_mark"), (bad_mark | day.isNull(), "invalid", "invalid_input"))
-    from_open = _status((bad_mark, "invalid", "invalid_input"), (F.col("mark").isNull(), "unavailable", "no_mark"), *history("open", F.col("first_slot") > p.start))
-    day_range = _status((bad_session, "invalid", "invalid_input"), *history("session"), (F.col("mark").isNull(), "unavailable", "no_mark"), (high == low, "unavailable", "zero_width"), (position.isNull(), "invalid", "invalid_input"))
+    from_close = _status((~F.coalesce(finite_positive(F.col("prior_close")), no), "unavailable", "prior_close_unavailable"), (F.col("mark").isNull(), "unavailable", "before_first_print"), (bad_mark | day.isNull(), "invalid", "invalid_input"))
+    from_open = _status((bad_mark, "invalid", "invalid_input"), (F.col("mark").isNull(), "unavailable", "before_first_print"), *history("open", F.col("first_slot") > p.start))
+    day_range = _status((bad_session, "invalid", "invalid_input"), *history("session"), (F.col("mark").isNull(), "unavailable", "before_first_print"), (high == low, "unavailable", "zero_width"), (position.isNull(), "invalid", "invalid_input"))
     activity = _status((F.coalesce(F.col("bad_last") >= floor, no), "invalid", "invalid_input"), (F.lit(at - p.start < p.activity_span), "warming", "reference_warmup"), *history("activity"))
     moved = _status(
         (F.lit(at - p.start < p.move_window), "warming", "rolling_warmup"),

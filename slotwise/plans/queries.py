@@ -478,17 +478,23 @@ def condition_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _float_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("symbol"), F.col("o_totalprice").alias("free_float"))
+    """An order is a float row, of its customer if it is pending and of a symbol outside the universe if not; some have no sound value."""
+    shares = F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_totalprice")).when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice"))
+    symbol = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).otherwise(-F.col("o_orderkey"))
+    return read(spark, sf_dir, "orders").select(symbol.alias("symbol"), shares.alias("free_float"))
 
 
-@query("""WITH f AS (SELECT o_custkey AS symbol, max(o_totalprice) AS free_float FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey HAVING count(*) = 1)
+FLOATS = """r AS (SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey ELSE -o_orderkey END AS symbol, CASE WHEN o_orderkey % 7 = 0 THEN -o_totalprice WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS shares FROM orders)"""
+
+
+@query(f"""WITH {FLOATS}, f AS (SELECT symbol, max(shares) AS free_float FROM r WHERE symbol IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY symbol HAVING count(*) = 1)
 SELECT symbol, free_float FROM f WHERE free_float > 0""")
 def float_semi_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("symbol"))
     return dims.unambiguous_float(_float_rows(spark, sf_dir), known)
 
 
-@query("""WITH f AS (SELECT o_custkey AS symbol, max(o_totalprice) AS free_float FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) = 1)
+@query(f"""WITH {FLOATS}, f AS (SELECT symbol, max(shares) AS free_float FROM r GROUP BY symbol HAVING count(*) = 1 AND max(shares) > 0)
 SELECT c_custkey AS symbol, free_float, CASE WHEN free_float IS NULL THEN 'unavailable' WHEN c_custkey % 2 = 0 THEN 'current' ELSE 'stale' END AS float_status,
   CASE WHEN free_float IS NULL THEN 'not_available' WHEN c_custkey % 2 = 0 THEN '' ELSE 'cached_fallback' END AS float_reason FROM customer LEFT JOIN f ON c_custkey = symbol""")
 def float_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,12 +594,17 @@ def retained_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.latest_ranked(read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 14)
 
 
-@query("""WITH f AS (SELECT o_orderkey, o_totalprice * 10 AS v FROM orders)
-SELECT o_orderkey, CASE WHEN round(v / 1e6, 1) >= 1 AND v >= 1e6 THEN regexp_replace(printf('%.1f', round(v / 1e6, 1)), '\\.0$', '') || 'M'
-  WHEN v >= 1e3 AND round(v / 1e3, 1) >= 1000 THEN '1M' WHEN v >= 1e3 THEN regexp_replace(printf('%.1f', round(v / 1e3, 1)), '\\.0$', '') || 'K' ELSE 'small' END AS shares FROM f WHERE v >= 1e3""")
+SHARES = "o_totalprice / 99999.7 * power(10, o_orderkey % 14)"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {SHARES} AS v FROM orders),
+u AS (SELECT *, CASE WHEN v >= 1e12 THEN 1e12 WHEN v >= 1e9 THEN 1e9 WHEN v >= 1e6 THEN 1e6 WHEN v >= 1e3 THEN 1e3 ELSE 1 END AS unit FROM f),
+r AS (SELECT o_orderkey, unit, v, round(v / unit, 1) AS n FROM u)
+SELECT o_orderkey, CASE WHEN unit = 1 THEN regexp_replace(regexp_replace(printf('%.2f', v), '0+$', ''), '\\.$', '') WHEN n >= 1000 AND unit < 1e12 THEN '1' || CASE unit WHEN 1e3 THEN 'M' WHEN 1e6 THEN 'B' ELSE 'T' END
+  ELSE regexp_replace(printf('%.1f', n), '\\.0$', '') || CASE unit WHEN 1e3 THEN 'K' WHEN 1e6 THEN 'M' WHEN 1e9 THEN 'B' ELSE 'T' END END AS shares FROM r""")
 def share_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("o_totalprice") * 10
-    return read(spark, sf_dir, "orders").where(v >= 1e3).select("o_orderkey", scalars.share_text(v).alias("shares"))
+    """Amounts of every size, from less than a share to trillions."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalars.share_text(F.expr(SHARES)).alias("shares"))
 
 
 @query(SQL["rank_top20"])

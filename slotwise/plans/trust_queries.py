@@ -63,7 +63,7 @@ def withdrawn_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' folded bars after one slot in seventeen was withdrawn."""
     b = _users(spark, sf_dir).where(F.col("slot") < AT)
     gone = b.where(F.col("slot") % 17 == F.col("symbol") % 17).select("symbol", "slot", "volume", "high", "low")
-    return bars.without_withdrawn(bars.folded_prefix(b, AT), gone)
+    return bars.without_withdrawn(bars.folded_prefix(b, AT), gone).drop("first_slot", "latest_slot")
 
 
 @query(f"""WITH {bars_cte()} SELECT symbol, CASE WHEN slot % 3 <> 0 THEN 'unmatched' WHEN slot % 7 = 0 THEN 'different' ELSE 'equal' END AS comparison, count(*) AS n FROM bars GROUP BY 1, 2""")

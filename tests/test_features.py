@@ -82,3 +82,47 @@ def test_scalars(spark):
     assert [value(scalars.share_text(F.lit(x))) for x in (1234567.0, 999950.0, 1500.0, 12.5)] == ["1.2M", "1M", "1.5K", "12.5"]
     assert value(scalars.signed_percent(F.lit(0.0512))) == "+5.12%"
     assert value(scalars.backoff_seconds(F.lit(4), 0.5, 3.0)) == 3.0
+
+
+def test_coverage_of_many_spans_and_intervals_is_one_sweep(spark):
+    """57,600 slots of one symbol, every other one covered: no pairing of slots with intervals."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from slotwise.operators import coverage
+
+    n = 57_600
+    every = spark.range(0, n, 2).select(F.lit("A").alias("symbol"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    none = every.where("false")
+    slots = spark.range(n).select(F.lit("A").alias("symbol"), F.col("id").alias("slot"))
+    began = time.time()
+    assert {r["class"]: r["count"] for r in coverage.slot_class(every, none, none, slots).groupBy("class").count().collect()} == {"present": n // 2, "unknown": n // 2}
+    spans = slots.select("symbol", F.col("slot").alias("lo"), (F.col("slot") + 60).alias("hi"))
+    conflicts = every.where("a = 100").unionByName(every.where("a = 100"))
+    got = coverage.covered(every, conflicts, spans).groupBy("covered", "conflicted").count().collect()
+    # The last spans reach beyond the last slot; the sixty that hold slot 100 are in conflict.
+    assert sum(r["count"] for r in got) == n and sum(r["count"] for r in got if r["conflicted"]) == 60
+    assert {r["covered"] for r in got} == set(range(1, 31)) | {0}
+    assert time.time() - began < 60
+
+
+def test_coverage_against_slots_counted_one_by_one(spark):
+    import random
+
+    from slotwise.operators import coverage
+
+    r = random.Random(4)
+    intervals, conflicts = [], [("A", 30, 33), ("A", 31, 35), ("B", 5, 6)]
+    for symbol in "AB":
+        at = 0
+        while at < 90:
+            a = at + r.randrange(1, 4)
+            at = a + r.randrange(1, 6)
+            intervals.append((symbol, a, at))
+    spans = sorted({(s, lo := r.randrange(100), lo + r.randrange(20)) for s in "ABC" for _ in range(60)})
+    kind = "symbol string, a bigint, b bigint"
+    got = coverage.covered(spark.createDataFrame(intervals, kind), spark.createDataFrame(conflicts, kind), spark.createDataFrame(spans, "symbol string, lo bigint, hi bigint")).collect()
+    inside = lambda rows, s, lo, hi: len({x for t, a, b in rows if t == s for x in range(a, b) if lo <= x < hi})
+    expected = [(s, lo, hi, c := inside(intervals, s, lo, hi), c == hi - lo and not (x := inside(conflicts, s, lo, hi)), x > 0 if c == hi - lo else inside(conflicts, s, lo, hi) > 0) for s, lo, hi in spans]
+    assert sorted(tuple(x) for x in got) == expected

@@ -38,7 +38,7 @@ def test_withdrawals_from_a_prefix(spark):
     prefix = bars.folded_prefix(b, 10)
 
     def after(slots):
-        return {r.symbol: tuple(r)[1:] for r in bars.without_withdrawn(prefix, b.where(b.slot.isin(slots) & (b.symbol == "A"))).collect()}
+        return {r.symbol: tuple(r)[1:] for r in bars.without_withdrawn(prefix, b.where(b.slot.isin(slots) & (b.symbol == "A"))).drop("first_slot", "latest_slot").collect()}
 
     whole = after([])
     assert whole == {"A": (15, 3, 10.0, 20.0, 5.0, 6.0, True, True, True), "B": (4, 1, 1.0, 2.0, 1.0, 2.0, True, True, True)}
@@ -56,3 +56,18 @@ def test_sealed_bars(spark):
     sealed = spark.createDataFrame([("A", 1, (1.0, 2)), ("A", 2, (1.0, None)), ("A", 3, (1.5, 2))], schema)
     got = sorted(tuple(r) for r in merge.against_sealed(historical, sealed).collect())
     assert got == [("A", 1, "equal"), ("A", 2, "equal"), ("A", 3, "different"), ("B", 1, "unmatched")]
+
+
+def test_more_withdrawn_than_held_leaves_nothing_below_zero_and_folds_on(spark):
+    from slotwise.operators import bars
+
+    kind = "symbol string, slot bigint, open double, high double, low double, close double, volume bigint"
+    held = spark.createDataFrame([("A", 1, 1.0, 3.0, 1.0, 2.0, 5)], kind)
+    gone = spark.createDataFrame([("A", 1, 5, 3.0, 1.0), ("A", 2, 9, 3.0, 1.0)], "symbol string, slot bigint, volume bigint, high double, low double")
+    left = bars.without_withdrawn(bars.folded_prefix(held, 10), gone)
+    assert [(r.volume, r.prints, r.open_trusted, r.latest_trusted) for r in left.collect()] == [(0, 0, False, False)]
+    tail = bars.folded_prefix(spark.createDataFrame([("A", 11, 4.0, 6.0, 4.0, 5.0, 7), ("B", 3, 1.0, 1.0, 1.0, 1.0, 1)], kind), 20)
+    on = {r.symbol: r for r in bars.continued(left, tail).collect()}
+    assert (on["A"].volume, on["A"].prints, on["A"].first_open, on["A"].high, on["A"].latest_close) == (7, 1, None, None, 5.0)
+    assert (on["A"].open_trusted, on["A"].extrema_trusted, on["A"].latest_trusted) == (False, False, True)
+    assert (on["B"].first_open, on["B"].extrema_trusted) == (1.0, True)
