@@ -39,3 +39,23 @@ def next_date(dates: DataFrame, wanted: DataFrame) -> DataFrame:
     behind = Window.orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, -1)
     found = every.withColumn("session", F.first("date", ignorenulls=True).over(ahead)).withColumn("prior", F.last("date", ignorenulls=True).over(behind))
     return found.where("kind = 0").select("day", "session", "prior")
+
+
+def marks_carried(marks: DataFrame, bars: DataFrame, changed: DataFrame, since: int, at: int) -> DataFrame:
+    """symbol, mark_slot and mark_close of the last bar before ``at``, from the marks before ``since``.
+
+    ``bars`` are those that stand now, ``changed`` the (symbol, slot) that were inserted, revised or withdrawn meanwhile.
+    A mark is carried on and meets the bars of [since, at) alone; only a symbol that changed at or after its mark, and
+    before ``since``, is read again from the beginning, whose bars the semi-join picks out.
+    """
+    late = changed.where(F.col("slot") < since).groupBy("symbol").agg(F.max("slot").alias("changed_slot"))
+    met = marks.select("symbol", "mark_slot", "mark_close").join(late, "symbol", "full")
+    dirty = F.col("changed_slot").isNotNull() & (F.col("mark_slot").isNull() | (F.col("changed_slot") >= F.col("mark_slot")))
+    again = met.where(dirty).select("symbol")
+    last = lambda df: df.groupBy("symbol").agg(F.max_by(F.struct("slot", "close"), "slot").alias("mark"))
+    held = met.where(~dirty & F.col("mark_slot").isNotNull()).select("symbol", F.struct(F.col("mark_slot").alias("slot"), F.col("mark_close").alias("close")).alias("mark"))
+    read = last(bars.where(F.col("slot") < at).join(again, "symbol", "left_semi"))
+    fresh = last(bars.where((F.col("slot") >= since) & (F.col("slot") < at)))
+    every = held.unionByName(read).unionByName(fresh)
+    newest = every.groupBy("symbol").agg(F.max_by("mark", "mark.slot").alias("mark"))
+    return newest.select("symbol", F.col("mark.slot").alias("mark_slot"), F.col("mark.close").alias("mark_close"))

@@ -29,21 +29,53 @@ def eligibility(conditions: Column, rules: DataFrame) -> Column:
     return F.coalesce(F.get(F.filter(states, lambda s: s.isNotNull()), 0), F.lit("eligible"))
 
 
+def qualifying(trades: DataFrame, rules: DataFrame) -> Column:
+    """Whether a trade counts: an original, of an identity that could be told, whose conditions let it."""
+    return (F.col("lifecycle") == "original") & F.coalesce("identity_classified", F.lit(False)) & (eligibility(F.col("conditions"), rules) == "eligible")
+
+
+def counted(trades: DataFrame, rules: DataFrame, identity: list[str], content: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first trade of each identity with ``qualifying``, and the symbols with a repeat that differs from its first.
+
+    ``trades`` are admitted ones: symbol, seq (unique), lifecycle, identity_classified, conditions, and what the lists name.
+    """
+    firsts = distinct_trades(trades, identity, content).select("symbol", "seq", "unequal")
+    once = trades.join(firsts.select("symbol", "seq"), ["symbol", "seq"], "left_semi")
+    return once.withColumn("qualifying", qualifying(trades, rules)), firsts.where("unequal").select("symbol").distinct()
+
+
+def _closed(ladder: tuple[Column, Column], columns: list[str]) -> tuple[Column, Column]:
+    """A status and reason under what closes a channel, if the row says so: shed under pressure, then an error of its control."""
+    status, reason = ladder
+    for name, closed, why in (("control_error", "unavailable", "control_error"), ("shed", "pressure_shed", "pressure")):
+        if name in columns:
+            hit = F.coalesce(name, F.lit(False))
+            status, reason = F.when(hit, closed).otherwise(status), F.when(hit, why).otherwise(reason)
+    return status, reason
+
+
+def _uncovered(columns: list[str]) -> Column:
+    return F.when(~F.coalesce("requested", F.lit(False)), "coverage").otherwise("channel_unconfirmed") if "requested" in columns else F.lit("channel_unconfirmed")
+
+
 def tape_rate(trades: DataFrame, targets: DataFrame, window: int = 5) -> DataFrame:
     """For each (symbol, at, covered_from): qualifying trades per second of [at - window, at), with status.
 
-    Trades are counted per second first; the window is then a join of at most ``window`` rows a target.
+    Targets may also say whether a symbol is requested, has unequal repeats, is shed, or has a control_error. Trades are counted per second first; the window is then a join of at most ``window`` rows a target.
     """
     per_second = trades.where("qualifying").groupBy("symbol", "sec").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("basis") == "participant").alias("participant"), F.bool_or(F.col("basis") == "sip_fallback").alias("sip")
     )
     seconds = targets.withColumn("sec", F.explode(F.sequence(F.col("at") - window, F.col("at") - 1)))
-    summed = seconds.join(per_second, ["symbol", "sec"], "left").groupBy("symbol", "at", "covered_from").agg(
+    more = [c for c in ("requested", "unequal", "shed", "control_error") if c in targets.columns]
+    summed = seconds.join(per_second, ["symbol", "sec"], "left").groupBy("symbol", "at", "covered_from", *more).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or("participant"), F.lit(False)).alias("participant"), F.coalesce(F.bool_or("sip"), F.lit(False)).alias("sip")
     )
     age = F.col("at") - F.col("covered_from")
-    status = F.when(age.isNull(), "unavailable").when(age < window, "warming").otherwise("current")
-    reason = F.when(age.isNull(), "channel_unconfirmed").when(age < 1, "coverage_warming").when(age < window, "five_second_warming").otherwise("qualifying_original_prints")
+    unequal = F.coalesce("unequal", F.lit(False)) if "unequal" in more else F.lit(False)
+    status = F.when(age.isNull(), "unavailable").when(unequal, "invalid").when(age < window, "warming").otherwise("current")
+    reason = F.when(age.isNull(), _uncovered(more)).when(unequal, "unequal_repeat").when(age < 1, "coverage_warming").when(age < window, "five_second_warming").otherwise("qualifying_original_prints")
+    status, reason = _closed((status, reason), more)
     basis = F.when(F.col("participant") & F.col("sip"), "mixed").when(F.col("participant"), "participant").when(F.col("sip"), "sip_fallback").otherwise("none")
     return summed.select("symbol", "at", status.alias("status"), reason.alias("reason"), F.when(status == "current", F.col("n") / window).alias("rate"), basis.alias("basis"))
 
@@ -68,3 +100,17 @@ def spread(quotes: DataFrame, at: Column, stale_seconds: int = 2) -> DataFrame:
         F.when(shown, spread_cents(bid, ask)).alias("cents"), F.when(shown, spread_basis_points(bid, ask)).alias("basis_points"),
         F.col("valid.seq").alias("valid_seq"),
     )
+
+
+def spread_of_members(members: DataFrame, quotes: DataFrame, at: Column, stale_seconds: int = 2) -> DataFrame:
+    """The spread of each member (symbol, covered, and requested, shed, control_error if known) by its admitted quotes.
+
+    Without coverage there is none, and with coverage but no quote it is still warming.
+    """
+    rows = members.join(spread(quotes, at, stale_seconds).withColumnsRenamed({"status": "_status", "reason": "_reason"}), "symbol", "left")
+    status = F.when(~F.coalesce("covered", F.lit(False)), "unavailable").otherwise(F.coalesce("_status", F.lit("warming")))
+    reason = F.when(~F.coalesce("covered", F.lit(False)), _uncovered(members.columns)).otherwise(F.coalesce("_reason", F.lit("coverage_warming")))
+    status, reason = _closed((status, reason), members.columns)
+    judged = rows.withColumn("status", status).withColumn("reason", reason)
+    shown = F.col("status").isin("current", "stale")
+    return judged.select("symbol", "status", "reason", *(F.when(shown, F.col(c)).alias(c) for c in ("age", "cents", "basis_points")))

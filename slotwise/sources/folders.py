@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -28,3 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 def _remove_local() -> None:
     for folder in _LOCAL:
         shutil.rmtree(folder, ignore_errors=True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a plan that is read more than once, or grows round by round."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -126,3 +126,32 @@ def test_coverage_against_slots_counted_one_by_one(spark):
     inside = lambda rows, s, lo, hi: len({x for t, a, b in rows if t == s for x in range(a, b) if lo <= x < hi})
     expected = [(s, lo, hi, c := inside(intervals, s, lo, hi), c == hi - lo and not (x := inside(conflicts, s, lo, hi)), x > 0 if c == hi - lo else inside(conflicts, s, lo, hi) > 0) for s, lo, hi in spans]
     assert sorted(tuple(x) for x in got) == expected
+
+
+def test_marks_are_carried_over_corrections_and_withdrawals(spark):
+    import random
+
+    from slotwise.operators import asof
+
+    r = random.Random(6)
+    kind, marked = "symbol string, slot bigint, close double", "symbol string, mark_slot bigint, mark_close double"
+    stands, marks, since = {}, [], 0
+    for step in range(5):
+        at, changed = since + 10, set()
+        for _ in range(12):
+            key = (r.choice("ABCD"), r.randrange(0, at + 5))
+            changed.add(key)
+            if key in stands and r.random() < 0.6:
+                del stands[key]
+            else:
+                stands[key] = float(r.randrange(100))
+        # Withdraw a mark now and then.
+        for symbol, slot, _ in marks:
+            if r.random() < 0.4:
+                stands.pop((symbol, slot), None)
+                changed.add((symbol, slot))
+        bars_now = spark.createDataFrame([(s, t, c) for (s, t), c in stands.items()], kind)
+        got = asof.marks_carried(spark.createDataFrame(marks, marked), bars_now, spark.createDataFrame(sorted(changed), "symbol string, slot bigint"), since, at)
+        marks = sorted((x.symbol, x.mark_slot, x.mark_close) for x in got.collect())
+        assert marks == sorted((s, t, stands[s, t]) for s in "ABCD" if (t := max((b for a, b in stands if a == s and b < at), default=None)) is not None)
+        since = at
