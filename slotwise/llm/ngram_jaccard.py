@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -109,27 +109,38 @@ def whole_sketch(shingles: np.ndarray) -> list[int]:
     return [int(np.bitwise_xor.reduce(bits[row == k], initial=np.uint64(0)).view(np.int64)) for k in range(4)]
 
 
-def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n (set size), a 128-bit signature of the set, its sketch, the keys a link shares (need; at least, least), its bucket keys."""
+def signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """doc_id, n (set size), a 128-bit signature of the set, its sketch, and the keys a link shares (need; at least, least)."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = scheme.edges()
         for batch in batches:
-            rows, keys = [], []
+            rows = []
             for text in batch.column(1):
                 s = words.shingle_set(text.as_py(), scheme.size)
                 signature = int(s.sum().view(np.int64)), int(words.mixed(s + np.uint64(1)).sum().view(np.int64))
-                own, need, least = bucket_keys(s, scheme, edges) if len(s) else (np.zeros(0, dtype=np.uint64), 0, 0)
+                _, need, least = bucket_keys(s, scheme, edges) if len(s) else (None, 0, 0)
                 rows.append((len(s), *signature, *whole_sketch(s), need, least))
-                keys.append(own.view(np.int64))
             table = np.array(rows, dtype=np.int64).reshape(-1, 9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(9))], names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "least"])
+
+    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, least bigint"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, schema)
+
+
+def keyed(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """doc_id and the bucket keys of each row's set; made again from the text, which is less than to keep them from the first reading."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = scheme.edges()
+        for batch in batches:
+            sets = (words.shingle_set(text.as_py(), scheme.size) for text in batch.column(1))
+            keys = [bucket_keys(s, scheme, edges)[0].view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))
-            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(9)), flat]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "least", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["doc_id", "keys"])
 
-    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, least bigint, keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, keys array<bigint>")
 
 
 def _may_link(scheme: Scheme, a: str, b: str) -> Column:
@@ -176,24 +187,26 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return several.dropDuplicates(["rep", "h"]).drop("h")
 
 
+def bucket_rows(docs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """key, p and rep: the representatives that share a key with another, p the smallest of them, which meets the others.
+
+    The keys are sent around once, by key.
+    """
+    mine = keyed(docs, scheme).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    bucket = Window.partitionBy("key")
+    return mine.withColumn("p", F.min("rep").over(bucket)).withColumn("q", F.max("rep").over(bucket)).where("p < q").select("key", "p", "rep")
+
+
 def links(docs: DataFrame, mine: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) of representatives of different sets that connect all that links connect (a staged table).
 
-    ``mine`` is the staged table of their sets, which is discarded on the way.
+    ``mine`` has a row for each of their sets.
     """
-    keyed = mine.select("rep", F.explode("keys").alias("key"))
-    # Most keys are met once, so that only their number is sent around.
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    keyed = staged(keyed.join(shared, "key"), "shared-keys")
-    # One member of each bucket, p, meets the others.
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key", "p")
-    rows = staged(keyed.join(pivots, "key").select("key", "p", "rep"), "bucket-rows")
-    discard(keyed)
+    rows = staged(bucket_rows(docs, mine.select("rep").distinct(), scheme), "bucket-rows")
     met = staged(rows.groupBy("p", "rep").agg(F.count(F.lit(1)).alias("shared")), "met")
     # A set that shares fewer keys than a link does, with all others together, has no link.
     own = met.groupBy("rep").agg(F.sum("shared").alias("own"))
     sized = staged(own.join(mine.select("rep", "n", "need", "least", *SKETCH).distinct(), "rep").where("own >= least"), "candidates")
-    discard(mine)
     both = met.where("p <> rep").join(sized.alias("y"), "rep").join(sized.withColumnRenamed("rep", "p").alias("z"), "p")
     star = both.where(_may_link(scheme, "y", "z") & _enough("y", "z"))
     star = staged(star.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
@@ -224,16 +237,16 @@ def near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
     scheme = scheme or Scheme()
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    sets = staged(sketched(docs, scheme), "sketches")
+    sets = staged(signed(docs, scheme), "sets")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     key = ["n", "sig1", "sig2"]
     classes = staged(sets.where(real).groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
-    members = staged(sets.select("doc_id", *key), "members")
+    members = sets.select("doc_id", *key)
     reps = classes.select("rep").distinct()
-    mine = sets.where(real).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
-    mine = staged(mine.drop("sig1", "sig2"), "sets-of-representatives")
-    discard(sets)
+    mine = sets.where(real).join(reps, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep").drop("sig1", "sig2")
+    mine = staged(mine, "sets-of-representatives")
     pairs = links(docs, mine, scheme)
+    discard(mine)
     # A document of several texts connects their classes.
     own = members.where(real).join(classes, key).where(F.col("doc_id") != F.col("rep"))
     several = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
