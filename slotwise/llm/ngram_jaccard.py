@@ -123,6 +123,7 @@ def signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 rows.append((len(s), *signature, *whole_sketch(s), need, least))
             table = np.array(rows, dtype=np.int64).reshape(-1, 9)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(9))], names=["doc_id", "n", "sig1", "sig2", *SKETCH, "need", "least"])
+        words.forget()
 
     schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, need bigint, least bigint"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, schema)
@@ -139,6 +140,7 @@ def keyed(docs: DataFrame, scheme: Scheme) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["doc_id", "keys"])
+        words.forget()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, keys array<bigint>")
 

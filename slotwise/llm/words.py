@@ -7,6 +7,7 @@ carriage return, which is what ``bytes.split()`` yields; ``bytes.lower()`` lower
 from __future__ import annotations
 
 import functools
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -19,12 +20,24 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+_CACHES: weakref.WeakSet[Cache] = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty the caches of this process, for a task whose worker goes on to tasks of other stages."""
+    for cache in _CACHES:
+        cache.clear()
+
+
 class Cache(dict):
     """word -> value, computed on first use and forgotten when full."""
 
+    __hash__ = object.__hash__
+
     def __init__(self, value: Callable[[bytes], object]):
         super().__init__()
         self.value = value
+        _CACHES.add(self)
 
     def __missing__(self, word: bytes) -> object:
         value = self.value(word)
