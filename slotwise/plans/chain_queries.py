@@ -102,7 +102,7 @@ FEEDS = f"""p AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY
 n AS (SELECT n_nationkey AS feed, coalesce(max(page) + 1, 0) AS pages, coalesce(max(turn) + 1, 0) AS rows_, count(*) FILTER (c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY' AND c_custkey % 3 <> 0) AS eligible FROM nation LEFT JOIN q ON c_nationkey = n_nationkey GROUP BY 1),
 -- Where a reader would stop: the page of each break, and its place in the order of checks.
 e AS (SELECT feed, {MOST_PAGES} AS place, 0 AS phase, 'too_many_pages' AS error FROM n WHERE pages > {MOST_PAGES} OR feed IN (3, 9) AND pages >= {MOST_PAGES}
-  UNION ALL SELECT feed, pages, 1, 'pagination_cycle' FROM n WHERE feed = 3 AND pages > 1 UNION ALL SELECT feed, pages, 2, 'missing_page' FROM n WHERE feed = 9 OR pages = 0
+  UNION ALL SELECT feed, pages, 1, 'pagination_cycle' FROM n WHERE feed = 3 AND pages > 1 UNION ALL SELECT feed, pages, 2, 'missing_page' FROM n WHERE feed = 9 OR pages = 0 OR feed = 3 AND pages = 1
   UNION ALL SELECT feed, 1, 3, 'malformed_page' FROM n WHERE feed = 10 AND pages > 1 UNION ALL SELECT feed, 2, 3, 'malformed_page' FROM n WHERE feed = 11 AND pages > 2
   UNION ALL SELECT feed, 8 // {A_PAGE}, 3, 'malformed_record' FROM n WHERE feed = 7 AND rows_ > 8 UNION ALL SELECT feed, 3 // {A_PAGE}, 3, 'malformed_record' FROM n WHERE feed = 8 AND rows_ > 3
   UNION ALL SELECT feed, 2, 5, 'duplicate_ticker' FROM n WHERE feed = 5 AND rows_ > {2 * A_PAGE} UNION ALL SELECT feed, 7 // {A_PAGE}, 5, 'ticker_identity' FROM n WHERE feed = 6 AND rows_ > 7),
