@@ -30,6 +30,17 @@ def prune(spark: SparkSession, root: str, keep: int = 14) -> DataFrame:
     return retained_dates(spark.read.parquet(root), keep)
 
 
+def remove_old(spark: SparkSession, root: str, keep: int = 14) -> list[str]:
+    """Delete the partitions of all but the newest ``keep`` dates and return their dates; the driver sees one row a date."""
+    every = spark.read.parquet(root).select("date").distinct()
+    gone = every.join(F.broadcast(retained_dates(every, keep)), "date", "left_anti").where("date is not null")
+    dates = sorted(str(r["date"]) for r in gone.collect())
+    for date in dates:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/date={date}")  # noqa: SLF001
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+    return dates
+
+
 def snapshot_json(rows: DataFrame) -> DataFrame:
     """Rows as JSON documents, percentages as ratios and counters as text, as consumers expect them."""
     def outward(name: str) -> object:

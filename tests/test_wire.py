@@ -87,6 +87,15 @@ def test_dated_caches(spark, tmp_path):
     assert caches.prune(spark, root, 1).select(F.col("date").cast("string")).collect()[0][0] == "2026-01-05"
 
 
+def test_old_dates_are_removed(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    for day in ("2026-01-02", "2026-01-05", "2026-01-06"):
+        caches.publish(spark.createDataFrame([("A", day)], "symbol string, note string"), root, day)
+    assert caches.remove_old(spark, root, 2) == ["2026-01-02"]
+    assert rows(spark.read.parquet(root).select("note")) == [("2026-01-05",), ("2026-01-06",)]
+    assert caches.remove_old(spark, root, 2) == []
+
+
 def test_snapshot_documents(spark):
     one = F.struct(F.lit("current").alias("status"), F.lit("").alias("reason"), F.lit(12.5).alias("value")).alias("move")
     document = json.loads(caches.snapshot_json(spark.range(1).select(F.lit("A").alias("symbol"), one)).first()[0])
