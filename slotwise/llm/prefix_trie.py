@@ -245,4 +245,4 @@ full_ AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, u.conv_id AS pare
 -- A node lies on the path of its smallest member, so that its ancestors are that conversation's nodes.
 path AS (SELECT s.conv_id, s.d, n.conv_id AS top FROM steps s JOIN nodes n ON n.d = s.d AND n.p = s.p),
 sums AS (SELECT a.top AS conv_id, a.d, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum((f.n_convs - 1) * f.words) AS BIGINT) AS saved_tokens FROM full_ f JOIN path a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY 1, 2)
-SELECT f.conv_id, f.d AS depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) AS ends_sha256 FROM full_ f JOIN sums s ON s.conv_id = f.conv_id AND s.d = f.d"""
+SELECT f.conv_id, f.d AS depth, CAST(f.parent_conv_id AS DOUBLE) AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) AS ends_sha256 FROM full_ f JOIN sums s ON s.conv_id = f.conv_id AND s.d = f.d"""
