@@ -3,12 +3,17 @@
 A page becomes a tree of its block elements. Each node's density is its characters per tag, lowered
 where much of it stands in links; a node's density sum adds up the densities of its children. The
 subtree with the largest sum is the content, widened to an ancestor as long as that ancestor is denser
-than the page's body. Parts that are never content (menus, headers, footers, sidebars, notices,
+than the page's body. The smallest density on the path from the body down to it is the threshold: subtrees
+beside it that are as dense and mostly unlinked belong to the content too, each by its own largest sum, and
+lists of links within it that are thinner are left out. An ``article`` or ``main`` around it is taken alone,
+without what stands beside. Parts that are never content (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are recognised by their tag, role, class or id and
 taken out of the tree before.
 
-A class or id is only a hint. `no-sidebar`, `post-has-comments`, `sidebar-none` and a page builder's
-`widget` name nothing; main is never taken out for its class, and an element that holds most of the
+A class or id is only a hint, and it counts as a whole: `sidebar`, `cookie-banner` and `site-footer` are made of
+noise and layout words alone, but `related-work` or `notice-period` say something of their own, and then only
+take out text that is mostly linked. Neither does `article-header` or `discussion` name noise. `no-sidebar`,
+`post-has-comments`, `sidebar-none` and a page builder's `widget` name nothing; main is never taken out for its class, and an element that holds most of the
 page's unlinked text is kept unless an article stands elsewhere. Reader comments may be longer than the
 article, so they are only kept if they hold main, the page's heading or its only article. If nothing
 would be left, classes and ids are disregarded.
@@ -42,9 +47,19 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense adslot banner banners sponsor sponsored promo promos promotion"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager topbar toolbar masthead header footer sidebar sidebars aside"
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall"
-    " comment comments commentlist disqus respond replies discussion share sharing social related recommended widget widgets form".split()
+    " comment comments commentlist disqus respond replies share sharing social related recommended widget widgets form".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Noise words that also name parts of an article when its own words stand beside them.
+WEAK = frozenset("header footer form notice notices alert aside banner banners".split())
+OWN = frozenset("article articles blog content contents entry news page post posts section stories story".split())
+LAYOUT = frozenset(
+    "all also area bar block body bottom box button buttons col column contact container count cta desktop discussion email extra fixed float floating global"
+    " group guest guests holder home icon icons inline inner item items label latest left link links list login lower mail main message messages meta mobile module"
+    " more outer panel placeholder popular primary reader readers region right row search secondary see site slot sticky strip text thread threads"
+    " title toggle tool tools top tree unit upper user users view visitor wrap wrapper zone".split()
+)
+CONTAINERS = frozenset("div section center ul ol dl table".split())
 ABSENT = frozenset("no non not has have with without hide hides".split())
 STATES = frozenset("none off on open closed enabled disabled".split())
 BUILDERS = frozenset("elementor siteorigin so sow jet brz".split())
@@ -65,7 +80,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, link: bool = False):
         self.tag, self.parent, self.noise, self.link = tag, parent, noise, link
-        self.names: list[tuple[str, bool]] = []  # noise words of class and id, if they are all that makes it noise
+        self.names: list[tuple[str, bool, bool]] = []  # noise words of class and id, if they are all that makes it noise
         self.parts: list[Node | str] = []  # text runs and block children, in page order
         self.children: list[Node] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
@@ -86,8 +101,8 @@ def is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
-def noise_names(tag: str, attributes: str) -> list[tuple[str, bool]]:
-    """The noise words that the class and id name, and whether each is a whole class or id."""
+def noise_names(tag: str, attributes: str) -> list[tuple[str, bool, bool]]:
+    """The noise words that the class and id name, whether each is a whole class or id, and whether nothing else is named with it."""
     if not attributes or tag in ("body", "html", "main"):
         return []
     values = [value for name, value in attributes_of(attributes) if name in ("class", "id")]
@@ -97,13 +112,16 @@ def noise_names(tag: str, attributes: str) -> list[tuple[str, bool]]:
     built = any(p in BUILDERS for parts in tokens for p in parts[:2])
     out = []
     for parts in tokens:
+        # A maker's short prefix and a number say nothing.
+        others = [p for k, p in enumerate(parts) if p not in NOISE and p not in LAYOUT and not p.isdigit() and (k or len(p) > 3)]
+        foreign, own = any(p not in OWN for p in others), bool(others)
         for k, p in enumerate(parts):
             absent = not ABSENT.isdisjoint(parts[:k]) or k + 1 < len(parts) and parts[k + 1] in STATES
             if p in NOISE and not absent and not (built and k < 2 and p in ("widget", "widgets")):
-                out.append((p, len(parts) == 1))
+                out.append((p, len(parts) == 1, not foreign and not (own and p in WEAK)))
     if tag == "article":  # only a whole class or id speaks against it, or that it is a comment
-        return [x for x in out if x[1] or x[0] in COMMENTS]
-    return out
+        return [x for x in out if x[1] or x[2] and x[0] in COMMENTS]
+    return [x for x in out if x[2]] if tag in INLINE else out
 
 
 def parse(page: str) -> Node:
@@ -209,7 +227,13 @@ def release(nodes: list[Node]) -> None:
     """Keeps elements that only their class or id takes out but that hold the article; see the module's text."""
     if not any(n.names for n in nodes):
         return
-    comment = {id(n) for n in nodes if any(p in COMMENTS for p, _ in n.names)}
+    sums: dict[int, tuple[int, int]] = {}  # characters and linked ones
+    for node in reversed(nodes):
+        below = [sums[id(c)] for c in node.children if not c.noise or c.names]
+        chars, linked = sums[id(node)] = node.chars + sum(c for c, _ in below), node.link_chars + sum(c for _, c in below)
+        if node.names and 2 * linked < max(chars, 1) and not any(sure for *_, sure in node.names):
+            node.names, node.noise = [], False
+    comment = {id(n) for n in nodes if any(p in COMMENTS for p, *_ in n.names)}
     plain: dict[int, int] = {}  # unlinked characters outside firm noise and comments
     heads: dict[int, bool] = {}
     articles: dict[int, int] = {}
@@ -290,7 +314,47 @@ def leaves_out(body: Node, best: Node, sums: dict[int, list[int]]) -> bool:
     return left > 0 if one else 4 * left > chars - link_chars
 
 
-def blocks(node: Node) -> Iterator[str]:
+def beside(body: Node, best: Node, sums: dict[int, list[int]], threshold: float, nodes: list[Node]) -> list[Node]:
+    """``best`` and the subtrees beside it that are as dense as the threshold and mostly unlinked, in page order."""
+    top: dict[int, Node] = {}  # of each subtree, the node with the largest sum
+    for node in reversed(nodes):
+        top[id(node)] = max([node, *(top[id(c)] for c in node.children if not c.noise)], key=lambda n: n.total)
+    path: set[int] = set()
+    above: Node | None = best
+    while (above := above.parent) is not None:
+        path.add(id(above))
+    out, taken, stack = [], {id(best)}, [body]
+    while stack:
+        node = stack.pop()
+        if id(node) not in path and id(node) != id(best):
+            chars, link_chars, *_ = sums[id(node)]
+            if node.noise or id(node) not in taken and (node.density < threshold or 2 * link_chars >= chars):
+                continue
+            taken.add(id(top[id(node)]))
+        if id(node) in taken:
+            out.append(node)
+        else:
+            stack.extend(reversed(node.children))
+    return out
+
+
+def thin_lists(chosen: list[Node], sums: dict[int, list[int]], threshold: float) -> set[int]:
+    """Containers (and columns of a page laid out as a table) of several links and little else, thinner than the threshold, within what is chosen."""
+    out = set()
+    for start in chosen:
+        chars, link_chars, *_ = sums[id(start)]
+        if 5 * link_chars >= 4 * chars:  # the content is a list of links
+            continue
+        for node in in_order(start)[1:]:
+            column = node.tag == "td" and any(c.tag in TEXT_BLOCKS or c.tag == "div" for cell in node.parent.children if cell is not node for c in cell.children)
+            if (node.tag in CONTAINERS or column) and not node.noise:
+                chars, link_chars, _, links = sums[id(node)]
+                if links > 1 and 5 * link_chars >= 4 * chars > 0 and node.density < threshold:
+                    out.add(id(node))
+    return out
+
+
+def blocks(node: Node, skipped: set[int]) -> Iterator[str]:
     """Texts of a subtree's blocks in page order, white space made single."""
     run: list[str] = []
     stack: list[Iterator] = [iter(node.parts)]
@@ -299,12 +363,16 @@ def blocks(node: Node) -> Iterator[str]:
         if isinstance(part, str):
             run.append(part)
             continue
-        if part is None or not part.noise:
+        out = part is not None and (part.noise or id(part) in skipped)
+        if not out or part.tag in CLOSES_P:
             text = " ".join("".join(run).split())
             run = []
             if text:
                 yield text
-            stack.pop() if part is None else stack.append(iter(part.parts))
+        if part is None:
+            stack.pop()
+        elif not out:
+            stack.append(iter(part.parts))
 
 
 def main_text(page: str | None) -> str:
@@ -342,7 +410,13 @@ def content(root: Node, nodes: list[Node]) -> str:
             best = above
     if flat and best is not body and best.tag not in ("article", "main") and leaves_out(body, best, sums):
         best = body
-    return " ".join(blocks(best))
+    threshold, node = best.density, best
+    while node is not body and node.parent is not None:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    chosen = [best] if best is body or best.tag in ("article", "main") else beside(body, best, sums, threshold, nodes)
+    skipped = thin_lists(chosen, sums, threshold)
+    return " ".join(text for part in chosen for text in blocks(part, skipped))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
