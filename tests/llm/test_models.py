@@ -169,14 +169,14 @@ def test_mixing_of_uneven_sizes(spark):
     assert abs(taken[0] - 0.3 * sum(10 + i % 7 for i in range(500))) <= 16 and taken[1] == taken[2] == 500
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_vectors(spark, block):
+@pytest.mark.parametrize(("block", "part"), [(4096, 1024), (7, 1024), (30, 4), (4096, 5)])
+def test_vectors(spark, block, part):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 16))
     made = [(i, i % 2, (base[i % 12] * rng.uniform(0.5, 3) + rng.normal(size=16) * 0.13).astype(np.float32).tolist()) for i in range(80)]
     made += [(100, 0, made[0][2]), (101, 0, made[0][2]), (102, 1, made[0][2]), (103, 0, None), (104, 0, [0.0] * 16), (105, 0, [float("nan")] * 16), (106, None, made[0][2]), (107, 0, []), (108, 0, [None] * 16), (109, 0, [1e38] * 16), (110, 0, [2e38] * 16)]
     frame = spark.createDataFrame(made, "vec_id bigint, label int, embedding array<float>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame, block=block, part=part).collect()}
     live = [(i, lab, np.array(v, dtype=np.float32).astype(float)) for i, lab, v in made if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     root, links = {i: i for i, *_ in made}, {i: 0 for i, *_ in made}
 
