@@ -30,15 +30,20 @@ def nearest(current: DataFrame, history: DataFrame, target: int, tolerance: int)
 
 
 def next_date(dates: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each ``day``, the first listed date on or after it and the one before that."""
-    known = dates.select(F.col("date").alias("day"), F.lit(1).alias("kind"), F.col("date"))
-    asked = wanted.select("day", F.lit(0).alias("kind"), F.lit(None).cast("date").alias("date"))
-    # A calendar is a table of a few hundred rows, so that one window over all of it is bounded.
-    every = known.unionByName(asked)
-    ahead = Window.orderBy("day", "kind").rowsBetween(1, Window.unboundedFollowing)
-    behind = Window.orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    found = every.withColumn("session", F.first("date", ignorenulls=True).over(ahead)).withColumn("prior", F.last("date", ignorenulls=True).over(behind))
-    return found.where("kind = 0").select("day", "session", "prior")
+    """For each ``day``, the first listed date on or after it and the last one before it.
+
+    The calendar becomes one row for each day from its first date to its last, so that asked days meet it by an equal join;
+    only the listed dates, a row a day at most, go through one window. Days outside the calendar have one of the two.
+    """
+    listed = dates.where("date is not null").select("date").distinct()
+    before = F.lag("date").over(Window.orderBy("date"))
+    spans = listed.select("date", before.alias("prior"))
+    every = spans.select(F.explode(F.sequence(F.coalesce(F.date_add("prior", 1), F.col("date")), F.col("date"))).alias("day"), F.col("date").alias("session"), "prior")
+    ends = listed.agg(F.min("date").alias("first"), F.max("date").alias("last")).select("first", "last", F.lit(1).alias("one"))
+    met = wanted.select("day", F.lit(1).alias("one")).join(every, "day", "left").join(F.broadcast(ends), "one", "left")
+    session = F.when(F.col("day") < F.col("first"), F.col("first")).otherwise(F.col("session"))
+    prior = F.when(F.col("day") > F.col("last"), F.col("last")).otherwise(F.col("prior"))
+    return met.select("day", session.alias("session"), prior.alias("prior"))
 
 
 def marks_carried(marks: DataFrame, bars: DataFrame, changed: DataFrame, since: int, at: int) -> DataFrame:

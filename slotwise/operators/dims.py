@@ -84,15 +84,42 @@ def session_bounds(day: Column, zone: str = "America/New_York") -> tuple[Column,
     return at("04:00:00"), at("20:00:00")
 
 
-def content_identity(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One SHA-256 over a set of rows, whatever their order: the hash of the sorted row hashes.
+def content_identity(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One SHA-256 over a set of rows (of each key), whatever their order: the hash of the sorted row hashes.
 
     Row hashes are first combined per prefix, so that no task sorts all of them; 4096 prefixes are hashed last.
     """
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
-    hashed = rows.select(F.sha2(text, 256).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
-    per_prefix = hashed.groupBy("prefix").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return per_prefix.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "h"))), lambda x: x["h"]), ""), 256).alias("identity"))
+    hashed = rows.select(*keys, F.sha2(text, 256).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
+    per_prefix = hashed.groupBy(*keys, "prefix").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return per_prefix.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "h"))), lambda x: x["h"]), ""), 256).alias("identity"))
+
+
+def judged_subsets(facts: DataFrame, cases: DataFrame, selected: DataFrame) -> DataFrame:
+    """case_id, n and reason of each selection of a binding's symbols: empty if it is a strict subset that names each once.
+
+    ``facts`` has one row per symbol of the binding, ``selected`` (case_id, symbol). A selection is refused as a whole:
+    empty, repeated, outside (a symbol that the binding has not) or not_strict.
+    """
+    total = facts.count()
+    named = selected.groupBy("case_id", "symbol").agg(F.count(F.lit(1)).alias("times"))
+    known = named.join(facts.select("symbol", F.lit(1).alias("known")), "symbol", "left")
+    counts = known.groupBy("case_id").agg(F.sum("times").alias("rows"), F.count(F.lit(1)).alias("n"), F.count("known").alias("known"))
+    reason = (
+        F.when(F.col("n").isNull(), "empty").when(F.col("rows") > F.col("n"), "repeated").when(F.col("known") < F.col("n"), "outside")
+        .when(F.col("n") >= total, "not_strict").otherwise("")
+    )
+    return cases.select("case_id").join(counts, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n"), reason.alias("reason"))
+
+
+def subset_bindings(facts: DataFrame, cases: DataFrame, selected: DataFrame, columns: list[str]) -> DataFrame:
+    """Each selection's n and reason, with the identities of its symbols and of their facts (``columns``) if it is accepted."""
+    judged = judged_subsets(facts, cases, selected)
+    members = selected.join(judged.where("reason = ''").select("case_id"), "case_id", "left_semi").join(facts, "symbol")
+    out = judged
+    for name, over in (("universe_identity", ["symbol"]), ("prior_identity", ["symbol", *columns])):
+        out = out.join(content_identity(members, over, ("case_id",)).withColumnRenamed("identity", name), "case_id", "left")
+    return out
 
 
 def prior_session(closes: DataFrame, day: Column) -> DataFrame:

@@ -60,12 +60,8 @@ def _status(*cases: tuple[Column, str, str]) -> tuple[Column, Column]:
     return status.otherwise("current"), reason.otherwise("")
 
 
-def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, priors: DataFrame, p: ScanParams, at: int) -> DataFrame:
-    """One row per symbol of ``universe`` with its measurements at ``at``.
-
-    ``intervals`` are the covered slots (present or proven absent, disjoint), ``conflicts`` those in
-    conflict, ``invalid`` the slots (symbol, slot) of rejected bars, ``priors`` have symbol, prior_close.
-    """
+def _facts(universe: DataFrame, bars: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, p: ScanParams, at: int) -> DataFrame:
+    """One row per symbol with its totals, marks, coverage flags and last invalid slots, which the ladders read."""
     totals = session_aggregates(bars, p, at)
     base = at - p.move_window
     floor = max(at - p.activity_span, p.start)
@@ -92,9 +88,12 @@ def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, con
         F.max(F.when(F.col("slot") >= p.start, F.col("slot"))).alias("bad_last"),
         F.max(F.when(F.col("slot") < base, F.col("slot"))).alias("bad_base"),
     )
-    rows = universe.join(totals, "symbol", "left").join(flags, "symbol", "left").join(bad, "symbol", "left").join(priors, "symbol", "left")
-    rows = rows.join(activity_percentile(bars, p, at), "symbol", "left")
+    return universe.join(totals, "symbol", "left").join(flags, "symbol", "left").join(bad, "symbol", "left")
+
 
+def _ladders(p: ScanParams, at: int) -> dict[str, tuple[Column, Column]]:
+    """Status and reason of each field, as expressions over ``_facts`` (from_close also reads prior_close)."""
+    base, floor = at - p.move_window, max(at - p.activity_span, p.start)
     no = F.lit(False)
     last, low, high = F.col("mark.close"), F.col("low"), F.col("high")
     bad_session = F.col("bad_last").isNotNull()
@@ -106,7 +105,6 @@ def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, con
         return [(conflict, "invalid", "historical_conflict"), (~exact if also is None else ~exact & also, "unavailable", "history_incomplete")]
 
     day = percent_change(last, F.col("prior_close"))
-    opened = percent_change(last, F.col("first_open"))
     position = range_position(last, low, high)
     move = percent_move(last, F.col("base_mark.close"))
     volume = _status((bad_session, "invalid", "invalid_input"), *history("session"))
@@ -122,20 +120,47 @@ def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, con
         *history("mark", F.col("mark.slot") + 1 < at),
         (move.isNull(), "invalid", "invalid_input"),
     )
+    return {"volume": volume, "from_close": from_close, "from_open": from_open, "day_range": day_range, "activity": activity, "move": moved}
+
+
+def measurements(universe: DataFrame, bars: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, priors: DataFrame, p: ScanParams, at: int) -> DataFrame:
+    """One row per symbol of ``universe`` with its measurements at ``at``.
+
+    ``intervals`` are the covered slots (present or proven absent, disjoint), ``conflicts`` those in
+    conflict, ``invalid`` the slots (symbol, slot) of rejected bars, ``priors`` have symbol, prior_close.
+    """
+    rows = _facts(universe, bars, intervals, conflicts, invalid, p, at).join(priors, "symbol", "left")
+    rows = rows.join(activity_percentile(bars, p, at), "symbol", "left")
+    last = F.col("mark.close")
+    ladder = _ladders(p, at)
     return rows.select(
         "symbol",
         last.alias("last"),
         (F.lit(at) - F.col("mark.slot") - 1).alias("mark_age"),
-        field(*volume, F.coalesce("volume", F.lit(0.0))).alias("volume"),
-        field(*from_close, day).alias("from_close"),
-        field(*from_open, opened).alias("from_open"),
-        field(*day_range, position).alias("day_range"),
-        field(*activity, F.coalesce("percentile", F.lit(100.0))).alias("activity"),
-        field(*moved, move).alias("move"),
-        F.coalesce("session_exact", no).alias("exact"),
+        field(*ladder["volume"], F.coalesce("volume", F.lit(0.0))).alias("volume"),
+        field(*ladder["from_close"], percent_change(last, F.col("prior_close"))).alias("from_close"),
+        field(*ladder["from_open"], percent_change(last, F.col("first_open"))).alias("from_open"),
+        field(*ladder["day_range"], range_position(last, F.col("low"), F.col("high"))).alias("day_range"),
+        field(*ladder["activity"], F.coalesce("percentile", F.lit(100.0))).alias("activity"),
+        field(*ladder["move"], percent_move(last, F.col("base_mark.close"))).alias("move"),
+        F.coalesce("session_exact", F.lit(False)).alias("exact"),
     )
 
 
+#: Fields whose status needs no prior close.
+STATUS_ONLY = ("volume", "from_open", "day_range", "activity", "move")
+
+
+def statuses(universe: DataFrame, bars: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, p: ScanParams, at: int) -> DataFrame:
+    """symbol, name, status and reason as ``measurements`` gives them, without percentiles, priors or values.
+
+    This is what the accounting of a whole population needs; the windows of activity are not read.
+    """
+    rows, ladder = _facts(universe, bars, intervals, conflicts, invalid, p, at), _ladders(p, at)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), ladder[n][0].alias("status"), ladder[n][1].alias("reason")) for n in STATUS_ONLY)))
+    return rows.select("symbol", each.alias("e")).select("symbol", "e.*")
+
+
 def trust_rank(status: Column) -> Column:
     return F.when(status == "current", 3).when(status == "warming", 2).when(status == "unavailable", 1).otherwise(0)
 

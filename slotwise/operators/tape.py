@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from slotwise.functions.scalars import age_seconds, spread_basis_points, spread_cents
 
 
+#: Reviewed rules that fit a literal map.
+MOST_RULES = 10_000
+
+
 def distinct_trades(trades: DataFrame, identity: list[str], content: list[str]) -> DataFrame:
     """One row per identity, the first by ``seq``, with copies and unequal (a repeat that differs)."""
     body = F.struct(*content)
@@ -21,9 +25,13 @@ def distinct_trades(trades: DataFrame, identity: list[str], content: list[str])
 def eligibility(conditions: Column, rules: DataFrame) -> Column:
     """Whether a trade's conditions let it count: the first that is unknown or not updating volume decides.
 
-    ``rules`` (id, updates_volume, reviewed) is a reviewed table of a few dozen rows and becomes a literal map.
+    ``rules`` (id, updates_volume, reviewed) is a reviewed table of a few dozen rows and becomes a literal map; more than
+    ``MOST_RULES`` are refused with a ValueError.
     """
-    known = {r["id"]: r["updates_volume"] for r in rules.where("reviewed").collect()}
+    reviewed = rules.where("reviewed").limit(MOST_RULES + 1).collect()
+    if len(reviewed) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} reviewed rules")
+    known = {r["id"]: r["updates_volume"] for r in reviewed}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None).cast("map<bigint,boolean>")
     states = F.transform(conditions, lambda c: F.when(F.try_element_at(table, c).isNull(), "unknown").when(~F.try_element_at(table, c), "no_volume"))
     return F.coalesce(F.get(F.filter(states, lambda s: s.isNotNull()), 0), F.lit("eligible"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.operators import asof, bars, coverage, features, ledger
 from slotwise.params import ScanParams
-from slotwise.plans.queries import AT, HOUR, START, TICKS, query
+from slotwise.plans.queries import AT, HOUR, PARAMS, SQL, START, TICKS, _evidence, query
 from slotwise.plans.wire_queries import FROM, KEPT, PER_FRAME, TO, _elements
 from slotwise.sources import wire
 from slotwise.sources.folders import kept
@@ -38,6 +38,7 @@ def marks_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPAN = ScanParams(start=FROM, end=TO, activity_window=30 * HOUR, activity_stride=5 * HOUR, move_window=30 * HOUR)
+_NUMBER = "CAST(substr(symbol, 2) AS BIGINT)"
 STRUCTURAL = ("price", "volume", "price_order", "average_trade_size")
 
 
@@ -58,6 +59,15 @@ f AS (SELECT symbol, 'volume' AS name, CASE WHEN bad_session THEN 'invalid' WHEN
 SELECT symbol, name, status, reason, CASE WHEN status = 'current' THEN round(value, 6) END AS value FROM f""")
 def wire_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields measured over bars as they came over the wire; the rejects of the wire, and none else, make them invalid."""
+    found = _wire_evidence(spark, sf_dir)
+    priors = found[0].where(F.expr(_NUMBER) % 5 != 0).withColumn("prior_close", F.lit(50.0))
+    fields = features.measurements(*found, priors, SPAN, AT * HOUR)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in ("volume", "from_close", "from_open", "day_range"))))
+    return fields.select("symbol", each.alias("e")).select("symbol", "e.name", "e.f.status", "e.f.reason", F.round("e.f.value", 6).alias("value"))
+
+
+def _wire_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Symbols, standing bars, covered slots, conflicts (none) and standing rejects of the wire."""
     found = wire.live_bars(_elements(spark, sf_dir), FROM, TO).withColumn("seq", F.col("position.frame") * PER_FRAME + F.col("position.idx"))
     log = found.select(
         "symbol", "slot", "seq", "open", "high", "low", "close", "volume", F.coalesce(F.col("reject").isin(*STRUCTURAL), F.lit(False)).alias("evidence"), F.when(F.col("reject").isNull(), "inserted").otherwise("rejected").alias("disposition")
@@ -65,11 +75,19 @@ def wire_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejects = ledger.standing_rejects(log)
     stands = log.where("disposition = 'inserted'").groupBy("symbol", "slot").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "seq").alias("bar")).select("symbol", "slot", "bar.*")
     universe = log.select("symbol").distinct()
-    number = F.substr("symbol", F.lit(2)).cast("bigint")
-    priors = universe.where(number % 5 != 0).withColumn("prior_close", F.lit(50.0))
-    since = F.when(number % 3 != 0, FROM).otherwise(TO - 100 * HOUR).cast("bigint")
+    since = F.when(F.expr(_NUMBER) % 3 != 0, FROM).otherwise(TO - 100 * HOUR).cast("bigint")
     known = universe.select("symbol", since.alias("a"), F.lit(TO).cast("bigint").alias("b"))
     intervals = coverage.merged(coverage.islands(stands).unionByName(known))
-    fields = features.measurements(universe, stands, intervals, intervals.where("false"), rejects, priors, SPAN, AT * HOUR)
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in ("volume", "from_close", "from_open", "day_range"))))
-    return fields.select("symbol", each.alias("e")).select("symbol", "e.name", "e.f.status", "e.f.reason", F.round("e.f.value", 6).alias("value"))
+    return universe, stands, intervals, intervals.where("false"), rejects
+
+
+@query(f"""SELECT symbol, name, status, reason FROM ({SQL["wire_measurements"]}) WHERE name <> 'from_close'""")
+def wire_field_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of the fields over bars of the wire, without their values."""
+    return features.statuses(*_wire_evidence(spark, sf_dir), SPAN, AT * HOUR).where(F.col("name").isin("volume", "from_open", "day_range"))
+
+
+@query(f"""SELECT symbol, name, status, reason FROM ({SQL["measurement_fields"]}) WHERE name <> 'from_close'""")
+def field_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of the fields over the hourly bars, without their values."""
+    return features.statuses(*_evidence(spark, sf_dir), PARAMS, AT).where("name <> 'activity'")

@@ -300,13 +300,19 @@ def coverage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.slot_class(coverage.islands(b), fenced, conflict, slots).groupBy("symbol", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Names, bars, covered slots, conflicts and invalid slots of the hourly bars."""
     b = hourly(spark, sf_dir)
     names = b.select("symbol").distinct()
-    priors = b.groupBy("symbol").agg(F.min_by("close", "slot").alias("prior_close")).where("symbol <> 'view'")
     conflicts = names.where("symbol = 'click'").select("symbol", F.lit(START + 100).cast("bigint").alias("a"), F.lit(START + 110).cast("bigint").alias("b"))
     invalid = names.where("symbol = 'error'").select("symbol", F.lit(AT - 100).cast("bigint").alias("slot"))
-    return features.measurements(names, b, _coverage(spark, sf_dir, b), conflicts, invalid, priors, PARAMS, AT)
+    return names, b, _coverage(spark, sf_dir, b), conflicts, invalid
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _evidence(spark, sf_dir)
+    priors = found[1].groupBy("symbol").agg(F.min_by("close", "slot").alias("prior_close")).where("symbol <> 'view'")
+    return features.measurements(*found, priors, PARAMS, AT)
 
 
 # The same ladders over flags counted slot by slot: covered = a bar or an hour before 20; 'click' is in

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.plans import queries as registered
-from slotwise.plans import carry_queries, chain_queries, ledger_queries, more_queries, population_queries, state_queries, trust_queries, wire_queries  # noqa: F401  (they register their queries)
+from slotwise.plans import binding_queries, carry_queries, chain_queries, ledger_queries, more_queries, population_queries, state_queries, trust_queries, wire_queries  # noqa: F401  (they register their queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
