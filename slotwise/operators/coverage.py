@@ -95,6 +95,28 @@ def extended(universe: DataFrame, intervals: DataFrame, conflicts: DataFrame, in
     return rows.select("symbol", consequence.alias("consequence"))
 
 
+def reconciled(universe: DataFrame, requests: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, marks: DataFrame, start: int, since: int, until: int, recovery: bool) -> DataFrame:
+    """symbol and consequence once the history of [since, until) that was asked for has come, behind the live fence.
+
+    ``universe`` are the symbols with a valid prior close, ``requests`` (symbol, outcome) what became of their requests:
+    complete and not_needed prove the interval, anything else, or no row, leaves it unknown. The other arguments are those
+    of ``extended``. An uncertainty is one after the bootstrap if a gap was to be recovered, and a failure otherwise.
+    """
+    answered = requests.where(F.col("outcome").isin("complete", "not_needed")).select("symbol").distinct()
+    before = F.lit("unknown_post_bootstrap" if recovery else "unknown_failure_or_fence")
+    known = universe.select("symbol").join(answered.withColumn("answered", F.lit(True)), "symbol", "left")
+    asked = known.select("symbol", F.when(F.col("answered").isNull(), before).alias("unknown"))
+    found = extended(asked, intervals, conflicts, invalid, marks, start, since, until)
+    inexact = F.col("consequence") == "unknown_post_bootstrap"
+    return found.select("symbol", F.when(inexact, before).otherwise(F.col("consequence")).alias("consequence"))
+
+
+def settled(consequences: DataFrame, recovery: bool) -> DataFrame:
+    """One row: how many symbols stay unknown, and whether the fence is reconciled, which a recovery with any of them is not."""
+    unknown = F.count_if(F.col("consequence").startswith("unknown"))
+    return consequences.agg(unknown.alias("n_unknown")).select("n_unknown", ((F.col("n_unknown") == 0) | F.lit(not recovery)).alias("reconciled"))
+
+
 def later_mark_decision(universe: DataFrame, intervals: DataFrame, conflicts: DataFrame, invalid: DataFrame, marks: DataFrame, start: int, at: int) -> DataFrame:
     """symbol and decision: whether a later live mark lets a symbol be ranked whose earlier slots are unknown.
 

@@ -37,6 +37,37 @@ def live_fence_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.extended(universe, known, conflicts, invalid, b, START, FENCE, AT)
 
 
+RECONCILED = f"""{bars_cte("user_id")}, m AS (SELECT symbol, count(*) FILTER (slot < {FENCE}) AS before, count(*) AS n FROM bars WHERE slot >= {START} AND slot < {AT} GROUP BY symbol),
+k AS (SELECT unnest(['bootstrap', 'recovery']) AS purpose, unnest(['unknown_failure_or_fence', 'unknown_post_bootstrap']) AS unknown),
+r AS (SELECT purpose, c_custkey AS symbol, CASE WHEN c_custkey % 17 = 0 OR c_custkey % 13 = 0 OR c_custkey % 11 = 0 OR c_custkey % 7 = 0 OR NOT (c_custkey % 3 <> 0 OR coalesce(before, 0) = {FENCE - START}) THEN unknown
+  WHEN n IS NULL THEN 'no_print_through_t' ELSE 'none' END AS consequence FROM k, customer LEFT JOIN m ON symbol = c_custkey WHERE c_acctbal > 0)"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str, recovery: bool) -> DataFrame:
+    symbols, b, s = _symbols(spark, sf_dir), _users(spark, sf_dir), F.col("symbol")
+    known = coverage.islands(b.where(F.col("slot") < FENCE)).unionByName(_interval(symbols.where(s % 3 != 0), START, FENCE))
+    conflicts = _interval(symbols.where(s % 7 == 0), START + 5, START + 9)
+    invalid = symbols.where(s % 11 == 0).withColumn("slot", F.lit(AT - 10).cast("bigint"))
+    outcome = F.when(s % 13 == 0, "failed").when(s % 19 == 0, "not_needed").otherwise("complete")
+    requests = symbols.where(s % 17 != 0).withColumn("outcome", outcome)
+    universe = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("symbol"))
+    return coverage.reconciled(universe, requests, known, conflicts, invalid, b, START, FENCE, AT, recovery)
+
+
+@query(f"WITH {RECONCILED} SELECT * FROM r")
+def fence_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last day's history means for each user with a valid prior close, at the start and after a gap."""
+    both = [_reconciled(spark, sf_dir, recovery).select(F.lit(name).alias("purpose"), "symbol", "consequence") for name, recovery in (("bootstrap", False), ("recovery", True))]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {RECONCILED} SELECT purpose, count(*) FILTER (consequence LIKE 'unknown%') AS n_unknown, n_unknown = 0 OR purpose = 'bootstrap' AS reconciled FROM r GROUP BY 1")
+def fence_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fence is reconciled then."""
+    both = [coverage.settled(_reconciled(spark, sf_dir, recovery), recovery).withColumn("purpose", F.lit(name)) for name, recovery in (("bootstrap", False), ("recovery", True))]
+    return both[0].unionByName(both[1])
+
+
 @query(f"""WITH {bars_cte("user_id")}, m AS (SELECT symbol, max(slot) AS mark FROM bars WHERE slot >= {START} AND slot < {AT} GROUP BY symbol)
 SELECT c_custkey AS symbol, CASE WHEN c_custkey % 9 = 0 THEN 'not_applicable' WHEN mark IS NULL THEN 'no_later_eligible_mark' WHEN (c_custkey + mark) % 4 = 0 THEN 'latest_mark_not_live'
   WHEN c_custkey % 5 = 0 AND mark < {AT - 30} THEN 'conflict_at_or_after_mark' WHEN c_custkey % 11 = 0 AND mark <= {AT - 20} THEN 'invalid_at_or_after_mark'

@@ -71,3 +71,19 @@ def test_more_withdrawn_than_held_leaves_nothing_below_zero_and_folds_on(spark):
     assert (on["A"].volume, on["A"].prints, on["A"].first_open, on["A"].high, on["A"].latest_close) == (7, 1, None, None, 5.0)
     assert (on["A"].open_trusted, on["A"].extrema_trusted, on["A"].latest_trusted) == (False, False, True)
     assert (on["B"].first_open, on["B"].extrema_trusted) == (1.0, True)
+
+
+def test_history_behind_the_fence(spark):
+    names = ["complete", "not_needed", "failed", "unasked", "silent", "hole", "conflict", "rejected"]
+    universe = spark.createDataFrame([(n,) for n in names], "symbol string")
+    requests = spark.createDataFrame([(n, n if n in ("not_needed", "failed") else "complete") for n in names if n != "unasked"] + [("other", "complete")], "symbol string, outcome string")
+    span = "symbol string, a bigint, b bigint"
+    intervals = spark.createDataFrame([(n, 0, 40 if n == "hole" else 50) for n in names], span)
+    conflicts, invalid = spark.createDataFrame([("conflict", 3, 5)], span), spark.createDataFrame([("rejected", 60), ("complete", 20)], "symbol string, slot bigint")
+    marks = spark.createDataFrame([(n, 30) for n in names if n != "silent"] + [("silent", 120)], "symbol string, slot bigint")
+    for recovery, unknown in ((False, "unknown_failure_or_fence"), (True, "unknown_post_bootstrap")):
+        found = coverage.reconciled(universe, requests, intervals, conflicts, invalid, marks, 0, 50, 100, recovery)
+        want = dict.fromkeys(names, unknown) | {"complete": "none", "not_needed": "none", "silent": "no_print_through_t"}
+        assert {r.symbol: r.consequence for r in found.collect()} == want
+        assert tuple(coverage.settled(found, recovery).first()) == (5, not recovery)
+    assert tuple(coverage.settled(found.where("consequence = 'none'"), True).first()) == (0, True)
