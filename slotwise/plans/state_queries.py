@@ -19,7 +19,7 @@ def _split(spark: SparkSession, sf_dir: str, symbol: str, root: str) -> DataFram
     """All events as a stream of several files; each holds ticks of every hour, so that all but the first correct bars."""
     rows = ticks(spark, sf_dir, symbol)
     for k in range(FILES):
-        rows.where(F.col("seq") % FILES == k).coalesce(1).write.parquet(f"{root}/in/file={k}")
+        rows.where(F.col("seq") % FILES == k).repartition(1).write.parquet(f"{root}/in/file={k}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
 
 

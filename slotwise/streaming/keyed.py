@@ -5,8 +5,8 @@ or corrected ticks of a slot alter the facts of the ends in (slot, slot + window
 are evaluated again, and a proof that no longer holds is revoked. What is older than ``keep`` slots
 behind the newest is folded away: its passing ends are counted, its bars dropped, its late ticks refused.
 
-``repeated``: an identity keeps a fingerprint of its first trade until the watermark passes its time to live; a
-repeat that differs marks it for good, which dropping duplicates would hide.
+``repeated``: an identity keeps the least and greatest fingerprint of its trades until the watermark passes its time to
+live; a repeat that differs marks it for good, which dropping duplicates would hide.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -142,34 +144,66 @@ def qualified(ticks: DataFrame, gate: GateParams, slot_seconds: int, start: int,
     return ticks.groupBy("symbol").applyInPandasWithState(update, _FOUND.format(kind), _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def repeated(trades: DataFrame, identity: list[str], content: list[str], seconds: int, late_seconds: int) -> DataFrame:
+#: Parts of the keyed state of ``repeated``: each holds the identities of one hash as a packed table.
+PARTS = 1024
+
+
+def _forgotten(known: pa.Table, watermark: int) -> pa.Table:
+    return known.filter(pc.or_(known["touched"], pc.greater_equal(known["expires"], watermark)))
+
+
+def repeated(trades: DataFrame, identity: list[str], content: list[str], seconds: int, late_seconds: int, parts: int = PARTS) -> DataFrame:
     """A stream of trades with at and seq -> seq (of the first), copies and unequal of each identity that a batch touched.
 
-    An identity is forgotten ``seconds`` after its last trade, when the watermark has passed that.
+    An identity is forgotten ``seconds`` after its last trade, when the watermark has passed that. Identities are kept in
+    ``parts`` packed tables by their hash, so that a call of Python serves many of them.
     """
-    print_ = F.xxhash64(*content)
-    rows = trades.withWatermark("at", f"{late_seconds} seconds").select(*identity, "at", "seq", print_.alias("print"))
+    kinds = {name: trades.schema[name].dataType for name in identity}
+    # Texts carry nulls and long integers through pandas as they are.
+    rows = trades.withWatermark("at", f"{late_seconds} seconds").select(
+        F.pmod(F.xxhash64(*identity), F.lit(parts)).alias("part"), *(F.col(name).cast("string").alias(f"_{k}") for k, name in enumerate(identity)),
+        "at", F.col("seq").cast("string").alias("seq"), F.xxhash64(*content).cast("string").alias("print"), F.unix_millis("at").cast("string").alias("ms"),
+    )
+    keys = [f"_{k}" for k in range(len(identity))]
+    fields = {key: pa.string() for key in keys} | {"seq": pa.int64(), "low": pa.int64(), "high": pa.int64(), "copies": pa.int64(), "newest": pa.int64(), "expires": pa.int64(), "touched": pa.bool_()}
+    schema = pa.schema(list(fields.items()))
+
+    def met(batch: pd.DataFrame) -> pa.Table:
+        texts = {name: pa.array(batch[name], pa.string(), from_pandas=True) for name in [*keys, "seq", "print", "ms"]}
+        prints, n = texts["print"].cast(pa.int64()), len(batch)
+        given = {"seq": texts["seq"].cast(pa.int64()), "low": prints, "high": prints, "copies": pa.array(np.ones(n, dtype="i8")), "newest": texts["ms"].cast(pa.int64()), "expires": pa.nulls(n, pa.int64()), "touched": pa.array(np.ones(n, dtype=bool))}
+        return pa.table([texts[k] if k in keys else given[k] for k in fields], schema=schema)
 
     def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        known = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else schema.empty_table()
+        if not state.hasTimedOut:
+            every = pa.concat_tables([known, *(met(batch) for batch in batches)])
+            sums = {"seq": "min", "low": "min", "high": "max", "copies": "sum", "newest": "max", "expires": "max", "touched": "max"}
+            found = every.group_by(keys).aggregate(list(sums.items()))
+            known = pa.table([found[k] if k in keys else found[f"{k}_{sums[k]}"] for k in fields], schema=schema)
+            touched = known["touched"]
+            later = pc.max_element_wise(pc.add(pc.fill_null(known["newest"], 0), seconds * 1000), pa.scalar(watermark + 1))
+            known = known.set_column(known.schema.get_field_index("expires"), "expires", pc.if_else(touched, later, known["expires"]))
+        known = _forgotten(known, watermark)
+        mine = known.filter(known["touched"])
+        if not len(known):
             state.remove()
-            return
-        seq, fingerprint, copies, unequal, newest = state.get if state.exists else (None, None, 0, False, 0)
-        for batch in batches:
-            fingerprint = int(batch["print"].iloc[0]) if fingerprint is None else fingerprint
-            unequal = bool(unequal or (batch["print"] != fingerprint).any())
-            seq = int(batch["seq"].min()) if seq is None else min(seq, int(batch["seq"].min()))
-            copies += len(batch)
-            if batch["at"].notna().any():
-                newest = max(newest, int(batch["at"].max().timestamp() * 1000))
-        state.update((seq, fingerprint, copies, unequal, newest))
-        state.setTimeoutTimestamp(max(newest + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, seq, copies, unequal)], columns=[*identity, "seq", "copies", "unequal"])
-
-    kinds = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in identity)
-    return rows.groupBy(*identity).applyInPandasWithState(
-        update, f"{kinds}, seq bigint, copies bigint, unequal boolean", "seq bigint, print bigint, copies bigint, unequal boolean, newest bigint", "update", GroupStateTimeout.EventTimeTimeout
-    )
+        else:
+            known = known.set_column(known.schema.get_field_index("touched"), "touched", pa.array(np.zeros(len(known), dtype=bool)))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(known)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(pc.min(known["expires"]).as_py(), watermark + 1))
+        if len(mine):
+            out = {key: mine[key].to_pandas() for key in keys}
+            yield pd.DataFrame(out | {"seq": mine["seq"].cast(pa.string()).to_pandas(), "copies": mine["copies"].to_pandas(), "unequal": pc.not_equal(mine["low"], mine["high"]).to_pandas()})
+
+    texts = ", ".join(f"{key} string" for key in keys)
+    found = rows.groupBy("part").applyInPandasWithState(update, f"{texts}, seq string, copies bigint, unequal boolean", "known binary", "update", GroupStateTimeout.EventTimeTimeout)
+    back = (F.col(key).cast(kinds[name]).alias(name) for key, name in zip(keys, identity, strict=True))
+    return found.select(*back, F.col("seq").cast("bigint").alias("seq"), "copies", "unequal")
 
 
 def latest_updates(stream: DataFrame, root: str, keys: list[str], each: Callable[[DataFrame], None] | None = None) -> DataFrame:

@@ -102,3 +102,13 @@ def test_an_identity_is_forgotten_after_its_time(spark, tmp_path):
     typed = stream(spark, tmp_path, batches, schema).withColumn("at", F.timestamp_seconds("sec"))
     got = keyed.latest_updates(keyed.repeated(typed, ["id"], ["price"], 30, 5), str(tmp_path), ["id"]).collect()
     assert sorted((x.id, x.seq, x.copies, x.unequal) for x in got) == [(1, 4, 1, False), (2, 2, 2, False)]
+
+
+def test_identities_share_a_part_and_are_forgotten_one_by_one(spark, tmp_path):
+    schema = "id bigint, seq bigint, price double, sec bigint"
+    big = (1 << 60) + 1
+    batches = [[(big, 1, 1.0, 0), (None, 2, 1.0, 990)], [(2, 3, 1.0, 1000)], [(None, 4, 2.0, 1001)], [(big, 5, 9.0, 1002)]]
+    typed = stream(spark, tmp_path, batches, schema).withColumn("at", F.timestamp_seconds("sec"))
+    updates = keyed.repeated(typed, ["id"], ["price"], 30, 5, parts=1)
+    got = {(x.id, x.seq, x.copies, x.unequal) for x in keyed.latest_updates(updates, str(tmp_path), ["id"]).collect()}
+    assert got == {(big, 5, 1, False), (2, 3, 1, False), (None, 2, 2, True)}
