@@ -69,9 +69,11 @@ def wire_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _wire_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Symbols, standing bars, covered slots, conflicts (none) and standing rejects of the wire."""
     found = wire.live_bars(_elements(spark, sf_dir), FROM, TO).withColumn("seq", F.col("position.frame") * PER_FRAME + F.col("position.idx"))
-    log = found.select(
+    # Written once: what follows reads it some ten times, and decoding the wire costs more than all of it.
+    decoded = found.select(
         "symbol", "slot", "seq", "open", "high", "low", "close", "volume", F.coalesce(F.col("reject").isin(*STRUCTURAL), F.lit(False)).alias("evidence"), F.when(F.col("reject").isNull(), "inserted").otherwise("rejected").alias("disposition")
     )
+    log = kept(decoded, "wire-log")
     rejects = ledger.standing_rejects(log)
     stands = log.where("disposition = 'inserted'").groupBy("symbol", "slot").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "seq").alias("bar")).select("symbol", "slot", "bar.*")
     universe = log.select("symbol").distinct()
