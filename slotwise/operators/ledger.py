@@ -2,8 +2,8 @@
 
 Checks that need no other delivery come first, in one expression over the row and the control state in
 force. What is left meets the other deliveries of its identity (symbol, slot). An identity whose deliveries
-all have one value (nearly all, in a real feed) is settled by two aggregates and a comparison per row; only
-disputed ones are sorted and folded in order of admission, row by row with a state of a few values. A
+all have one value (nearly all, in a real feed) is settled by windows over it; only
+disputed ones are folded in order of admission, row by row with a state of a few values. A
 withdrawal for want of integrity ends everything: identities do not touch each other before it, so that
 the first one over all of them is the least of what each finds alone, one aggregated row, and whatever
 was delivered later is refused. Nothing needs to be repeated until it settles.
@@ -22,9 +22,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from slotwise.functions.scalars import finite, finite_positive
+from slotwise.sources.folders import kept
 
 # Where an average trade size comes from.
 PROVENANCES = ("live_provider_average", "rest_floor_volume_over_trades")
@@ -62,46 +63,55 @@ def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def checked(deliveries: DataFrame, controls: DataFrame, universe: DataFrame, session: Session, width: int) -> DataFrame:
-    """``deliveries`` with ``refused`` ('disposition:reason' of the first check that fails, or null), ``evidence`` and ``late``.
+def checked(deliveries: DataFrame, controls: DataFrame, universe: DataFrame, session: Session, width: int, keep: list[str]) -> DataFrame:
+    """``keep`` of ``deliveries`` with ``refused`` ('disposition:reason' of the first check that fails, or null), ``evidence``, ``late`` and what the fold reads.
 
-    ``evidence``: a bar of a known symbol and second, delivered soundly, whose values are refused.
+    ``evidence``: a bar of a known symbol and second, delivered soundly, whose values are refused. What a row alone decides
+    is decided before the joins, so that its columns do not travel.
     """
     known = universe.select(F.col("symbol").alias("_symbol")).distinct()
-    met = with_control(deliveries, controls, width).join(known, F.col("symbol") == F.col("_symbol"), "left")
-    state, at, request = (lambda n: F.col(f"control.{n}")), F.col("position"), (lambda n: F.col(f"request.{n}"))
-    live, end_s = _true(F.col("source") == "live"), F.col("slot") + F.col("seconds")
-    epoch = F.coalesce(state("epoch"), F.lit(0))
-    stale = live & (epoch != 0) & ~_true(state("active") & (F.col("position.epoch") == epoch))
-    lifecycle = F.when(F.col("request").isNotNull(), state("lifecycle").isin("hydrating", "recovering")).otherwise(
-        live & state("active") & state("acknowledged") & state("lifecycle").isin("hydrating", "live", "recovering")
-    )
+    at, request, end_s = F.col("position"), (lambda n: F.col(f"request.{n}")), F.col("slot") + F.col("seconds")
+    live = _true(F.col("source") == "live")
     window = (F.col("seconds") == 1) & (F.col("slot") >= session.first_s) & (end_s <= session.last_s)
     placed = (F.col("position.epoch") > 0) & (F.col("position.frame") > 0) & F.col("request").isNull()
     asked = (request("generation") > 0) & (request("token") != "") & (request("ordinal") > 0) & at.isNull()
     asked = asked & (request("a") >= session.first_s) & (request("b") <= session.last_s) & (F.col("slot") >= request("a")) & (F.col("slot") < request("b"))
-    context = F.when(live, F.when(~_true(placed), "rejected:source_position").when(~_true(at > state("ack")), "rejected:aggregate_at_or_before_ack")).when(~_true(asked), "fenced:historical_context")
-    future = F.when(_true(end_s > F.col("admission_s")), "rejected:future_event_time")
-    sound, bare = bar_valid(), F.col("delivered").isNull()
+    early = (
+        F.when(~_true(F.col("schema_version") == session.schema_version), "rejected:schema")
+        .when(~_true(F.col("binding") == session.binding), "fenced:binding")
+        .when(~_true(F.col("source").isin("live", "historical")), "rejected:run_source")
+    )
+    context = F.when(live, F.when(~_true(placed), "rejected:source_position")).when(~_true(asked), "fenced:historical_context")
+    own = deliveries.select(
+        *dict.fromkeys([*keep, "symbol", "slot", "seq", "position", "bar"]), live.alias("_live"), F.col("request").isNotNull().alias("_asking"), request("generation").alias("_given"),
+        early.alias("_early"), _true(window).alias("_inside"), bar_valid().alias("_sound"), F.when(F.col("delivered").isNull(), "rejected:delivery_evidence").otherwise(context).alias("_context"),
+        F.when(_true(end_s > F.col("admission_s")), "rejected:future_event_time").alias("_future"), _true(F.col("admission_s") - end_s > session.horizon_s).alias("late"),
+    )
+    met = with_control(own, controls, width).join(known, F.col("symbol") == F.col("_symbol"), "left")
+    state, live = (lambda n: F.col(f"control.{n}")), F.col("_live")
+    epoch = F.coalesce(state("epoch"), F.lit(0))
+    stale = live & (epoch != 0) & ~_true(state("active") & (F.col("position.epoch") == epoch))
+    lifecycle = F.when(F.col("_asking"), state("lifecycle").isin("hydrating", "recovering")).otherwise(
+        live & state("active") & state("acknowledged") & state("lifecycle").isin("hydrating", "live", "recovering")
+    )
     before = (
         F.when(stale, "fenced:stale_live_epoch")
         .when(~_true(lifecycle), "rejected:lifecycle")
-        .when(~_true(F.col("schema_version") == session.schema_version), "rejected:schema")
-        .when(~_true(F.col("binding") == session.binding), "fenced:binding")
-        .when(~_true(F.col("source").isin("live", "historical")), "rejected:run_source")
+        .when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col("_symbol").isNull(), "rejected:symbol")
-        .when(~_true(window), "rejected:window")
+        .when(~F.col("_inside"), "rejected:window")
     )
-    after = F.coalesce(F.when(bare, "rejected:delivery_evidence"), context, future)
+    behind = F.when(live & ~_true(at > state("ack")), "rejected:aggregate_at_or_before_ack")
+    after = F.coalesce("_context", behind, "_future")
     return met.select(
-        *deliveries.columns, F.coalesce(before, F.when(~sound, "rejected:structural"), after).alias("refused"),
-        (before.isNull() & ~sound & after.isNull()).alias("evidence"), _true(F.col("admission_s") - end_s > session.horizon_s).alias("late"),
+        *dict.fromkeys([*keep, "symbol", "slot", "seq", "position", "bar"]), "_live", "_given", F.coalesce(before, F.when(~F.col("_sound"), "rejected:structural"), after).alias("refused"),
+        (before.isNull() & ~F.col("_sound") & after.isNull()).alias("evidence"), "late",
     )
 
 
 #: What stands (its value, whether live, position, generation), and whether two historical values met.
 _NOTHING = (None, False, None, None, False)
-_FACTS = ("symbol", "slot", "source", "late", "position", "request", "bar")
+_FACTS = ("symbol", "slot", "_live", "late", "position", "_given", "bar", "outcome")
 
 
 def _met(state: tuple, live: bool, late: bool, position: tuple | None, generation: int | None, bar: tuple) -> tuple[str, tuple]:
@@ -131,52 +141,64 @@ def _met(state: tuple, live: bool, late: bool, position: tuple | None, generatio
     return "revised:", placed
 
 
-def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    identity, state = None, _NOTHING
-    for batch in batches:
-        outcomes = []
-        for symbol, slot, source, late, position, request, bar in zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True):
-            if (symbol, slot) != identity:
-                identity, state = (symbol, slot), _NOTHING
-            outcome, state = _met(state, source == "live", late, position and tuple(position.values()), request and request["generation"], tuple(bar.values()))
-            outcomes.append(outcome)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outcomes, pa.string())], names=[*batch.schema.names, "outcome"])
+def _folding(names: list[str]):  # noqa: ANN202
+    """Gives the rows of disputed identities, which arrive without an outcome and in order, theirs; returns the columns ``names``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identity, state = None, _NOTHING
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            told = table["outcome"].to_pylist()
+            open_ = pa.array([k for k, x in enumerate(told) if x is None], pa.int64())
+            rows = table.select(_FACTS[:-1]).take(open_)
+            for k, symbol, slot, live, late, position, generation, bar in zip(open_.to_pylist(), *(c.to_pylist() for c in rows.columns), strict=True):
+                if (symbol, slot) != identity:
+                    identity, state = (symbol, slot), _NOTHING
+                told[k], state = _met(state, live, late, position and tuple(position.values()), generation, tuple(bar.values()))
+            columns = [pa.array(told, pa.string()) if name == "outcome" else batch.column(batch.schema.get_field_index(name)) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def _met_undisputed() -> Column:
     """The same for an identity with one value, from when it was first held and first held by a live bar."""
-    live, seq = F.col("source") == "live", F.col("seq")
+    live, seq = F.col("_live"), F.col("seq")
     held, held_live = _true(F.col("_opened") < seq), _true(F.col("_live_since") < seq)
     return (
         F.when(live & F.col("late") & ~held_live, "rejected:too_late")
-        .when(~live & held & ~held_live & F.col("late") & ~F.col("request.generation").eqNullSafe(F.col("_generation")), "fenced:historical_context")
+        .when(~live & held & ~held_live & F.col("late") & ~F.col("_given").eqNullSafe(F.col("_generation")), "fenced:historical_context")
         .when(held, "exact_duplicate:")
         .otherwise("inserted:")
     )
 
 
-def dispositions(deliveries: DataFrame, controls: DataFrame, universe: DataFrame, session: Session, width: int = 1 << 16) -> DataFrame:
-    """``deliveries`` with evidence, disposition and reason; ``width`` is the stretch of ``with_control``."""
-    rows = checked(deliveries, controls, universe, session, width)
-    sound = rows.where("refused is null")
-    live = F.col("source") == "live"
+def dispositions(deliveries: DataFrame, controls: DataFrame, universe: DataFrame, session: Session, width: int = 1 << 16, keep: list[str] | None = None) -> DataFrame:
+    """``deliveries`` (of its columns ``keep``, if given, which must hold seq) with evidence, disposition and reason; ``width`` is the stretch of ``with_control``.
+
+    Each delivery is dealt to its identity once; windows settle the undisputed there, and the fold reads the same order.
+    The log is written once, because the first break is looked for in it.
+    """
+    keep = deliveries.columns if keep is None else keep
+    # Refused rows meet nobody: each is an identity of its own, so that a symbol of refused rows is not one task.
+    rows = checked(deliveries, controls, universe, session, width, keep).withColumn("_alone", F.when(F.col("refused").isNotNull(), F.col("seq")))
+    identity = ("symbol", "slot", "_alone")
+    mine = Window.partitionBy(*identity).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    live = F.col("_live")
     opens = F.when(~live | ~F.col("late"), F.col("seq"))
-    facts = sound.groupBy("symbol", "slot").agg(
-        (F.min("bar") != F.max("bar")).alias("_disputed"), F.min(opens).alias("_opened"), F.min(F.when(live & ~F.col("late"), F.col("seq"))).alias("_live_since"),
-        F.min_by("request.generation", opens).alias("_generation"),
-    )
-    met = sound.join(facts, ["symbol", "slot"])
-    kept = [*deliveries.columns, "evidence", "late"]
-    settled = met.where(~F.col("_disputed")).select(*kept, _met_undisputed().alias("outcome"))
-    disputed = met.where("_disputed").select(*kept)
-    # Dealt anew, because a join may split the rows of one identity.
-    in_order = disputed.repartition("symbol", "slot").sortWithinPartitions("symbol", "slot", "seq")
-    folded = in_order.mapInArrow(_fold, StructType([*disputed.schema, StructField("outcome", StringType())]))
-    every = settled.unionByName(folded).unionByName(rows.where("refused is not null").select(*kept, F.col("refused").alias("outcome")))
-    first_break = F.broadcast(folded.where("outcome like 'integrity%'").agg(F.min("seq").alias("_break")))  # one row
+    facts = {
+        "_disputed": F.min("bar").over(mine) != F.max("bar").over(mine), "_opened": F.min(opens).over(mine),
+        "_live_since": F.min(F.when(live & ~F.col("late"), F.col("seq"))).over(mine), "_generation": F.min_by("_given", opens).over(mine),
+    }
+    told = F.when(F.col("refused").isNotNull(), F.col("refused")).when(~F.col("_disputed"), _met_undisputed())
+    met = rows.withColumns(facts).withColumn("outcome", told).sortWithinPartitions(*identity, "seq")
+    needed = met.select(*dict.fromkeys([*keep, *_FACTS, "evidence"]))
+    names = [*keep, "evidence", "outcome"]
+    log = kept(needed.mapInArrow(_folding(names), StructType([StructField(n, needed.schema[n].dataType) for n in names])), "ledger")
+    first_break = F.broadcast(log.where("outcome like 'integrity%'").agg(F.min("seq").alias("_break")))  # one row
     broken = _true(F.col("seq") > F.col("_break"))
     parts = F.split(F.when(broken, "integrity:repeated_position_unequal").otherwise(F.col("outcome")), ":")
-    return every.join(first_break).select(*deliveries.columns, (F.col("evidence") & ~broken).alias("evidence"), parts[0].alias("disposition"), parts[1].alias("reason"))
+    return log.join(first_break).select(*keep, (F.col("evidence") & ~broken).alias("evidence"), parts[0].alias("disposition"), parts[1].alias("reason"))
 
 
 def canonical(log: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select((e + 1).alias("epoch"), ack.alias("ack"), F.explode(F.array(*phases)).alias("p")).select("p.*", "epoch", "ack")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     universe = read(spark, sf_dir, "part").where("p_size <> 50").select(F.col("p_partkey").alias("symbol"))
-    return ledger.dispositions(_lines(spark, sf_dir), _controls(spark, sf_dir), universe, SESSION, 1000 * ARRIVALS)
+    return ledger.dispositions(_lines(spark, sf_dir), _controls(spark, sf_dir), universe, SESSION, 1000 * ARRIVALS, ["symbol", "slot", "seq", *also])
 
 
 LOG = f"""RECURSIVE l AS (SELECT *, l_orderkey * 10 + l_linenumber AS tick, (l_orderkey * 10 + l_linenumber) * {ARRIVALS} + l_partkey * 10000 + l_suppkey AS seq, (l_orderkey * 10 + l_linenumber) // {SPAN} AS e, (l_orderkey * 10 + l_linenumber) % {SPAN} AS phase,
@@ -108,7 +108,7 @@ SELECT l_partkey AS symbol, slot, 10.0::DOUBLE + xb // 2 AS open, CASE WHEN xb %
   CAST(CASE WHEN xl THEN xp.frame END AS DOUBLE) AS frame, first_seq, set_seq AS seq FROM z WHERE back = 1 AND xb IS NOT NULL""")
 def bar_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars that stand, with whose they are, their first evidence and the delivery of their value."""
-    return ledger.canonical(_log(spark, sf_dir)).select("symbol", "slot", "bar.open", "bar.provenance", "source", F.col("position.frame").cast("double").alias("frame"), "first_seq", "seq")
+    return ledger.canonical(_log(spark, sf_dir, "source", "position", "bar")).select("symbol", "slot", "bar.open", "bar.provenance", "source", F.col("position.frame").cast("double").alias("frame"), "first_seq", "seq")
 
 
 @query(f"""WITH {LOG} SELECT DISTINCT r.l_partkey AS symbol, r.slot FROM log r CROSS JOIN br WHERE r.evidence AND r.seq <= br.break_seq

@@ -183,3 +183,13 @@ def test_no_deliveries(spark):
     assert outcomes(spark, []) == []
     assert ledger.canonical(found(spark, [])).collect() == []
     assert ledger.standing_rejects(found(spark, [])).collect() == []
+
+
+def test_only_the_columns_asked_for_are_given_and_each_delivery_is_decided_once(spark, monkeypatch):
+    rows = [live(1, 2000, 10.0, 5), live(2, 2000, 11.0, 6), live(3, 2001, 10.0, 7, symbol="C"), live(4, 2001, 10.0, 8)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    written = []
+    monkeypatch.setattr(ledger, "kept", lambda log, name: written.append(log.columns) or log)
+    log = ledger.dispositions(df, spark.createDataFrame(ALWAYS, CONTROLS), spark.createDataFrame([("A",)], "symbol string"), SESSION, 64, ["symbol", "seq"])
+    assert log.columns == ["symbol", "seq", "evidence", "disposition", "reason"] and written == [["symbol", "seq", "evidence", "outcome"]]
+    assert [(r.seq, r.disposition) for r in log.orderBy("seq").collect()] == [(1, "inserted"), (2, "revised"), (3, "rejected"), (4, "inserted")]
