@@ -108,14 +108,15 @@ def _repeats(length: int, bucket: int):  # noqa: ANN202
         again = np.sort(order[~new])
         doc, rows = table["doc_id"].to_numpy(), table["row"].to_numpy().astype(np.int64)
         d, r, lo, hi = _merged_runs(doc[row[again]], rows[row[again]], start[again], start[again] + length)
-        none = [None] * len(d)
-        columns = [list(d), list(r), list(lo), list(hi), none, none]
-        if pending:  # the first of each here may still repeat one of another part of its bucket
-            left = np.sort(order[new])
-            for column, more in zip(columns, (doc[row[left]], rows[row[left]], start[left], start[left] + length, found[left].view(np.int64), key[left].view(np.int64)), strict=True):
-                column.extend(more.tolist())
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([None if x is None else int(x) for x in c], k) for c, k in zip(columns, kinds, strict=True)], names=out_names)
+        # The first of each in a part of a bucket may still repeat one of another part: its window goes on with its hashes.
+        left = np.sort(order[new]) if pending else order[:0]
+        open_ = np.arange(len(d) + len(left)) >= len(d)
+        arrays = [
+            pa.array(np.concatenate([d, doc[row[left]]])), pa.array(np.concatenate([r, rows[row[left]]]).astype(np.int32)),
+            pa.array(np.concatenate([lo, start[left]]).astype(np.int32)), pa.array(np.concatenate([hi, start[left] + length]).astype(np.int32)),
+            *(pa.array(np.concatenate([np.zeros(len(d), dtype=np.uint64), h[left]]).view(np.int64), mask=~open_) for h in (found, key)),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=out_names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -158,6 +158,20 @@ def test_repeated_strings(spark, bucket):
     assert got == brute_removed(rows, 100)
 
 
+def test_an_anchor_of_more_spans_than_a_task_compares_at_once(spark):
+    made = lambda k, n: "".join(np.random.default_rng(k).choice(list("abcdefgh"), n))
+    passage = made(0, 90)  # too short to repeat alone, so that all copies stand in different spans
+    rows = [(k, made(k % 7 + 1, 90)[k % 5 :] + passage + made(k + 100, 60)) for k in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = substring_dedup.kept_bytes(table(spark, rows), bucket=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_removed(rows, 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found} == want
+    assert 0 < sum(x[1] for x in want.values()) < sum(x[0] for x in want.values())
+
+
 def test_repeated_strings_null_ids_and_repeated_rows(spark):
     long = "".join(np.random.default_rng(1).choice(list("abcdefgh"), 400))
     got = substring_dedup.kept_bytes(table(spark, [(None, long), (3, long), (3, long), (4, long), (5, None)])).collect()
