@@ -1,10 +1,11 @@
 """The canonical merge: which of several deliveries of one bar stands, and what became of each.
 
-Nothing bounds the deliveries of an identity (symbol, slot), so they are never held at once. Windows
-give the bars and positions of an identity their ranks, which compare as the values do; the rows are
-then sorted by identity in order of admission and read once, with a state of a few numbers that is
-carried from batch to batch. Sorts and windows spill. Every delivery leaves with its disposition as a
-row of its own, and accounting is a group-by.
+Nothing bounds the deliveries of an identity (symbol, slot), so they are never held at once. The rows
+are sorted by identity in order of admission, once, and read once, with a state of a few values that is
+carried from batch to batch. Bars and positions whose types compare in Python as they do in Spark are
+compared themselves; others get ranks within their identity first, at the price of a window and a sort
+for each. Sorts and windows spill. Every delivery leaves with its disposition as a row of its own, and
+accounting is a group-by.
 
 ``deliveries`` has symbol, slot, seq, source ('live' or 'historical'), position (any orderable value,
 null for historical rows), bar (a struct of values), admission_s and end_s.
@@ -17,9 +18,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DecimalType, FractionalType, IntegralType, StringType, StructType
 
-#: Bar, source and position that stand (as ranks), conflict and integrity flags.
+#: Bar, source and position that stand, conflict and integrity flags.
 _EMPTY = (None, None, None, False, False)
 
 
@@ -64,33 +65,52 @@ def _after(state: tuple, outcome: str, live: bool, position: int | None, bar: in
     return state
 
 
-def _ordered(deliveries: DataFrame, horizon: int, *values: str) -> DataFrame:
-    """Deliveries of each identity in a row, in order of admission."""
+def _same_in_python(kind: DataType) -> bool:
+    """Whether values are equal for Spark exactly where ``_comparable`` makes them equal."""
+    if isinstance(kind, StructType):
+        return bool(kind.fields) and all(_same_in_python(f.dataType) for f in kind.fields)
+    return isinstance(kind, IntegralType | FractionalType | DecimalType | BooleanType | BinaryType) or kind == StringType()
+
+
+def _comparable(column: pa.Array) -> list:
+    """Structs as tuples, and any NaN as one value."""
+    if pa.types.is_struct(column.type):
+        fields = zip(*map(_comparable, column.flatten()), strict=True)
+        return [x if valid else None for x, valid in zip(fields, column.is_valid().to_pylist(), strict=True)]
+    if pa.types.is_floating(column.type):
+        return ["NaN" if x is not None and x != x else x for x in column.to_pylist()]
+    return column.to_pylist()
+
+
+def _ordered(deliveries: DataFrame, horizon: int, *values: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Deliveries of each identity in a row, in order of admission, and the names of what decides."""
     identity = Window.partitionBy("symbol", "slot")
-    rank = lambda name: F.when(F.col(name).isNotNull(), F.dense_rank().over(identity.orderBy(name)))
+    kinds = {f.name: f.dataType for f in deliveries.schema}
+    placed = deliveries.select("symbol", "slot", "seq", "source", "position", "bar", "admission_s", "end_s").repartition("symbol", "slot")
+    names = {"position": "position", "bar": "bar"}
+    for name, plain in (("bar", _same_in_python(kinds["bar"])), ("position", isinstance(kinds["position"], IntegralType))):
+        if not plain:  # ranks stand for the values, in the order too
+            names[name] = f"{name}_rank"
+            placed = placed.withColumn(names[name], F.when(F.col(name).isNotNull(), F.dense_rank().over(identity.orderBy(name))))
+    placed = placed.sortWithinPartitions("symbol", "slot", "seq", "source", names["position"], names["bar"], "admission_s", "end_s")
     late = F.col("admission_s") - F.col("end_s") > horizon
-    ranked = deliveries.repartition("symbol", "slot").withColumn("bar_rank", rank("bar")).withColumn("position_rank", rank("position"))
-    # Ranks stand for bars and positions in the order too.
-    placed = ranked.sortWithinPartitions("symbol", "slot", "seq", "source", "position_rank", "bar_rank", "admission_s", "end_s")
     return placed.select(
-        "symbol", "slot", "seq", "position_rank", "bar_rank", *values,
+        "symbol", "slot", "seq", *dict.fromkeys((*names.values(), *values)),
         F.coalesce(F.col("source") == "live", F.lit(False)).alias("live"),
         F.coalesce(F.col("end_s") > F.col("admission_s"), F.lit(False)).alias("future"),
         F.coalesce(late, F.lit(False)).alias("late"),
-    )
-
-
-_FACTS = ("symbol", "slot", "live", "position_rank", "bar_rank", "future", "late")
+    ), ("symbol", "slot", "live", names["position"], names["bar"], "future", "late")
 
 
 def dispositions(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
     """symbol, slot, seq, disposition and reason of every delivery."""
+    placed, facts = _ordered(deliveries, horizon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identity, state = None, _EMPTY
         for batch in batches:
             outcomes = []
-            for symbol, slot, *fact in zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True):
+            for symbol, slot, *fact in zip(*(_comparable(batch.column(c)) for c in facts), strict=True):
                 if (symbol, slot) != identity:
                     identity, state = (symbol, slot), _EMPTY
                 outcome = _decide(state, *fact)
@@ -103,13 +123,14 @@ def dispositions(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
     schema = StructType()
     for name in ("symbol", "slot", "seq"):
         schema = schema.add(name, kinds[name])
-    log = _ordered(deliveries, horizon).mapInArrow(run, schema.add("outcome", "string"))
+    log = placed.mapInArrow(run, schema.add("outcome", "string"))
     parts = F.split("outcome", ":")
     return log.select("symbol", "slot", "seq", parts[0].alias("disposition"), F.coalesce(F.get(parts, 1), F.lit("")).alias("reason"))
 
 
 def merged(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
     """One row per identity: the bar that stands (null if none), its source and flags."""
+    placed, facts = _ordered(deliveries, horizon, "bar")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identity, state = None, _EMPTY
@@ -131,7 +152,7 @@ def merged(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
             shift = len(before)
             holder = 0 if kept is not None else None
             ends, at, states = [], [], []
-            for k, (symbol, slot, *fact) in enumerate(zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True), shift):
+            for k, (symbol, slot, *fact) in enumerate(zip(*(_comparable(batch.column(c)) for c in facts), strict=True), shift):
                 if (symbol, slot) != identity:
                     if identity is not None:
                         ends.append(k - 1)
@@ -152,7 +173,7 @@ def merged(deliveries: DataFrame, horizon: int = 960) -> DataFrame:
 
     kinds = {f.name: f.dataType for f in deliveries.schema}
     schema = StructType().add("symbol", kinds["symbol"]).add("slot", kinds["slot"]).add("bar", kinds["bar"]).add("source", "string")
-    return _ordered(deliveries, horizon, "bar").mapInArrow(run, schema.add("conflict", BooleanType()).add("integrity", BooleanType()))
+    return placed.mapInArrow(run, schema.add("conflict", BooleanType()).add("integrity", BooleanType()))
 
 
 def canonical(deliveries: DataFrame, horizon: int = 960) -> DataFrame:

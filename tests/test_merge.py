@@ -67,3 +67,22 @@ def test_an_identity_of_any_size_is_never_gathered(spark):
     stands = sorted((r.symbol, r.slot, r.value) for r in merge.canonical(df.repartition(1)).collect())
     assert stands == [("A", 0, n - 1.0), *(("B", s, float(s)) for s in range(5))]
     assert [(r.symbol, r.slot) for r in merge.conflict_slots(df).collect()] == [("C", 0)]
+
+
+def test_one_sort_serves_an_identity(spark):
+    df = spark.createDataFrame([("A", 0, 0, L, 1, (1.0,), 1000, 999)], SCHEMA)
+    for made in (merge.dispositions(df), merge.canonical(df)):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Sort [") == 1 and "Window" not in plan
+
+
+@pytest.mark.parametrize("kind", ["struct<value:double,name:string>", "struct<value:double,name:string,day:date>"])
+@pytest.mark.parametrize("place", ["bigint", "double"])
+def test_bars_are_equal_as_spark_has_it_and_ranks_agree(spark, kind, place):
+    nan, day = float("nan"), (None,) * kind.count("day")
+    bars = [None, (nan, "x"), (-nan, "x"), (0.0, None), (-0.0, None), (0.0, ""), (None, None)]
+    made = [("A", k, n, L, n, bar and (*bar, *day), 1000, 999) for k, pair in enumerate([(1, 2), (3, 4), (4, 5), (6, 6), (6, 3), (0, 1)]) for n, bar in enumerate(bars[p] for p in pair)]
+    df = spark.createDataFrame(made, SCHEMA.replace("struct<value:double>", kind))
+    df = df.withColumn("position", df.position.cast(place))
+    log = {(r.slot, r.seq): r.disposition for r in merge.dispositions(df).collect()}
+    assert [log[k, 1] for k in range(6)] == ["exact_duplicate", "exact_duplicate", "revised", "exact_duplicate", "revised", "inserted"]
